@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from quern.llm import url_filter
+from quern.llm import simhash, url_filter
 
-QUERIES = {"op1_url_filter": url_filter.op1_url_filter}
+QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
+    "op2_simhash": simhash.op2_simhash,
+}
 ORACLES = {"op1_url_filter": url_filter.ORACLE}

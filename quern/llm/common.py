@@ -40,7 +40,7 @@ def drop_scratch(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 2000) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, rows: int = 2000) -> DataFrame:
     """``mapInArrow`` over slices of at most ``rows`` rows, so that working memory does not follow the batch size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
