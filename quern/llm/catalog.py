@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from quern.llm import simhash, url_filter
+from quern.llm import embed_dedup, packing, secret_scan, simhash, token_count, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_simhash": simhash.op2_simhash,
+    "op3_embedding_dedup": embed_dedup.op3_embedding_dedup,
+    "op4_packing": packing.op4_packing,
+    "op7_token_counts": token_count.op7_token_counts,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
 }
-ORACLES = {"op1_url_filter": url_filter.ORACLE}
+ORACLES = {"op1_url_filter": url_filter.ORACLE, "op3_embedding_dedup": embed_dedup.ORACLE}
