@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import embed_dedup, packing, secret_scan, simhash, token_count, url_filter
+from quern.llm import decontaminate, embed_dedup, packing, secret_scan, simhash, token_count, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -11,5 +11,6 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op7_token_counts": token_count.op7_token_counts,
     "op8_secret_scan": secret_scan.op8_secret_scan,
+    "op9_decontamination": decontaminate.op9_decontamination,
 }
 ORACLES = {"op1_url_filter": url_filter.ORACLE, "op3_embedding_dedup": embed_dedup.ORACLE}

@@ -32,7 +32,7 @@ from quern.llm.common import arrow_map, scratch
 from quern.llm.vocab import ByteIds, read_tokenizer, worker_state
 
 SIZE, END = 1024, 2
-ROUNDS, STEP, ETA = 500, 0.5, 4.0
+ROUNDS, STEP, ETA, POWER = 600, 0.5, 4.0, 1.3
 RESERVED = ("quern_task", "quern_rank", "sequence_id", "offset")
 
 
@@ -60,18 +60,19 @@ def best_configuration(value: np.ndarray, size: int) -> Counter:
 
 
 def fractional(counts: np.ndarray, size: int, rounds: int = ROUNDS) -> Counter:
-    """Multiplicative weights on the covering program: configuration (sorted item tuple) -> times used."""
+    """Multiplicative weights on the covering program: configuration (item tuple) -> times used, a fraction."""
     used: Counter = Counter()
-    there = counts > 0
+    there, need = counts > 0, np.maximum(counts, 1).astype(float)
     covered = np.zeros(size + 1)
-    need = np.maximum(counts, 1).astype(float)
+    # Long pieces are the scarce ones: their starting price is above their share of a sequence.
+    start = (np.arange(size + 1) / size) ** POWER
     for _ in range(rounds):
         share = covered / need
-        if not there.any() or share[there].min() >= 1:
+        low = share[there].min()
+        if low >= 1:
             break
-        price = np.where(there & (share < 1), np.exp(-ETA * share), 0) * np.arange(size + 1)
-        c = best_configuration(price / size, size)
-        step = max(1.0, STEP * min(counts[x] / k for x, k in c.items()))
+        c = best_configuration(np.where(there, start * np.exp(-ETA * np.minimum(share - low, 40)), 0), size)
+        step = STEP * min(counts[x] / k for x, k in c.items())
         used[tuple(sorted(c.items(), reverse=True))] += step
         for x, k in c.items():
             covered[x] += k * step
@@ -111,17 +112,12 @@ def fill(left: np.ndarray, size: int) -> Counter:
     return out
 
 
-def plan(counts: np.ndarray, size: int = SIZE, rounds: int = ROUNDS) -> tuple[list[tuple[Counter, int]], int]:
-    """counts[l] pieces of each length to (configurations with their numbers of sequences, sequences in all)."""
-    left = counts.astype(np.int64).copy()
-    out: list[tuple[Counter, int]] = []
-    if left[size]:
-        out.append((Counter({size: 1}), int(left[size])))
-        left[size] = 0
-    used = fractional(left, size, rounds) if left.any() else Counter()
+def rounded(counts: np.ndarray, used: Counter, size: int) -> list[tuple[Counter, int]]:
+    """Fractional uses rounded down against the remaining counts (full configurations only), the rest best fit."""
+    left, out = counts.copy(), []
     for items, times in sorted(used.items(), key=lambda x: (-sum(a * b for a, b in x[0]), -x[1], x[0])):
         if sum(a * b for a, b in items) < size:
-            continue  # not full: its pieces are better placed at the end
+            break
         k = min(int(times), *(int(left[a]) // b for a, b in items))
         if k:
             out.append((Counter(dict(items)), k))
@@ -133,6 +129,19 @@ def plan(counts: np.ndarray, size: int = SIZE, rounds: int = ROUNDS) -> tuple[li
         out.append((c, k))
         for a, b in c.items():
             left[a] -= b * k
+    return out
+
+
+def plan(counts: np.ndarray, size: int = SIZE, rounds: int = ROUNDS) -> tuple[list[tuple[Counter, int]], int]:
+    """counts[l] pieces of each length to (configurations with their numbers of sequences, sequences in all).
+
+    Of the rounded program and best fit alone the plan with fewer sequences is taken.
+    """
+    rest = counts.astype(np.int64).copy()
+    out = [(Counter({size: 1}), int(rest[size]))] if rest[size] else []
+    rest[size] = 0
+    if rest.any():
+        out += min((rounded(rest, u, size) for u in (fractional(rest, size, rounds), Counter())), key=lambda p: sum(k for _, k in p))
     return out, sum(k for _, k in out)
 
 
