@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, embed_dedup, packing, secret_scan, simhash, token_count, url_filter
+from quern.llm import (
+    decontaminate,
+    embed_dedup,
+    langid,
+    license_scan,
+    packing,
+    secret_scan,
+    simhash,
+    token_count,
+    url_filter,
+    warc,
+)
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_simhash": simhash.op2_simhash,
     "op3_embedding_dedup": embed_dedup.op3_embedding_dedup,
     "op4_packing": packing.op4_packing,
+    "op5_license_scan": license_scan.op5_license_scan,
+    "op6_language_id": langid.op6_language_id,
     "op7_token_counts": token_count.op7_token_counts,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_warc": warc.op10_warc,
+}
+ORACLES = {
+    "op1_url_filter": url_filter.ORACLE,
+    "op3_embedding_dedup": embed_dedup.ORACLE,
+    "op5_license_scan": license_scan.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
-ORACLES = {"op1_url_filter": url_filter.ORACLE, "op3_embedding_dedup": embed_dedup.ORACLE}
