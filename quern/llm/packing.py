@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.common import arrow_map, scratch
-from quern.llm.vocab import ByteIds, read_tokenizer, worker_state
+from quern.llm.vocab import ByteIds, byte_ranks, read_tokenizer, worker_state
 
 SIZE, END = 1024, 2
 ROUNDS, STEP, ETA, POWER = 600, 0.5, 4.0, 1.3
@@ -165,7 +165,8 @@ def runs(configurations: list[tuple[Counter, int]], size: int = SIZE) -> dict[st
 
 def token_pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, text: str = "text") -> DataFrame:
     """doc_id, piece, start, length and ids (binary, little-endian unsigned 32-bit) of every piece of every document."""
-    state = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, read_tokenizer(path)))
+    held = read_tokenizer(path)
+    state = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, held, byte_ranks(held)))
     tail = np.array([end], "<u4").tobytes()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -1,16 +1,16 @@
-"""Byte-wise token lookups shared by the counting and packing operators.
+"""Token counts and ids by public tokenizer files, shared by the counting and packing operators.
 
-A public tokenizer file is read on the driver and sent to the workers as text (its size is checked), so executors need
-no file of their own. Each worker keeps one tokenizer and one bounded two-generation cache per broadcast.
+A file is read on the driver and sent to the workers as text (its size is checked), so executors need no file of their
+own. Each worker keeps one tokenizer, and for counts a bounded two-generation cache, per broadcast.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable
 
 import numpy as np
+import tiktoken
 from tokenizers import Tokenizer
 
 MAX_FILE = 64 << 20
@@ -98,34 +98,50 @@ class WordCounter:
         return sum(map(self.cache.__getitem__, data.split()))
 
 
-class ByteIds:
-    """Token ids (little-endian unsigned 32-bit) of a byte-level BPE tokenizer with the usual space handling.
+def byte_ranks(text: str) -> dict[bytes, int] | None:
+    """byte string -> id of a byte-level BPE tokenizer if plain rank merging gives its ids, else None.
 
-    The tokenizer's own splitting pattern never crosses the borders found here: an optional space with a run of other
-    characters, or white space. So ids of such pieces are cached and joined. Texts with a special string, or with the
-    four control characters on whose white-space nature libraries differ, go to the tokenizer as a whole.
+    Rank merging joins the neighbours whose joint string has the lowest id. It equals the tokenizer's merging if ids follow
+    the order of the merges and every vocabulary entry is its own encoding: a pair that is joined to an entry by another
+    split than the entry's own merge would show as an entry that is not its own encoding. Both are checked here.
     """
+    head = json.loads(text)
+    pre, model = head.get("pre_tokenizer") or {}, head["model"]
+    if pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space") or head.get("normalizer") or model["type"] != "BPE":
+        return None
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "unk_token")):
+        return None
+    special, alphabet = {t["content"] for t in head.get("added_tokens", [])}, byte_alphabet()
+    vocab = {k: v for k, v in model["vocab"].items() if k not in special}
+    if any(c not in alphabet for k in vocab for c in k):
+        return None
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]]
+    ids, bpe = [vocab.get(m, -1) for m in merged], Tokenizer.from_str(text).model
+    if len(vocab) != 256 + len(merged) or ids != list(range(256, 256 + len(merged))) or any([t.id for t in bpe.tokenize(k)] != [v] for k, v in vocab.items()):
+        return None
+    return {bytes(alphabet[c] for c in k): v for k, v in vocab.items()}
+
+
+#: The splitting pattern of byte-level BPE pre-tokenizers; a fixed value.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    pieces = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-    odd = re.compile("[\x1c-\x1f]")
 
-    def __init__(self, text: str):
-        self.tokenizer = Tokenizer.from_str(text)
-        head = json.loads(text)
-        pre = head.get("pre_tokenizer") or {}
-        self.whole = not (
-            pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and head.get("normalizer") is None
-        )
-        self.special = [t["content"] for t in head.get("added_tokens", [])]
-        self.cache = Generations(self.encode)
+class ByteIds:
+    """Token ids (little-endian unsigned 32-bit) as a tokenizer file gives them.
 
-    def encode(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+    Where ``byte_ranks`` allows it, the same vocabulary runs in the faster rank-merging library; texts with a special
+    string, and all texts of other tokenizers, go to the tokenizer itself.
+    """
+
+    def __init__(self, text: str, ranks: dict[bytes, int] | None):
+        self.tokenizer = Tokenizer.from_str(text)
+        self.special = [t["content"] for t in json.loads(text).get("added_tokens", [])]
+        self.fast = ranks and tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        if self.whole or any(s in text for s in self.special) or self.odd.search(text):
-            return self.encode(text)
-        return b"".join(map(self.cache.__getitem__, self.pieces.findall(text)))
+        if not self.fast or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 _HELD: dict = {}

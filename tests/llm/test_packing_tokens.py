@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -16,9 +17,15 @@ TEXTS = [
 def test_ids_and_counts_are_the_library_s():
     texts = [t or "" for t in TEXTS]
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    ids = vocab.ByteIds(vocab.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
-    for x in texts:
-        assert np.frombuffer(ids.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+    held = vocab.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    ranks = vocab.byte_ranks(held)
+    assert len(ranks) == 50256 and vocab.byte_ranks(vocab.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))) is None
+    rng = random.Random(3)
+    odd = "".join(chr(c) for c in [*range(0x250), *range(0x2000, 0x2070), 0x3000, 0x4E00, 0x1F600, 0xFEFF, 0x301, 0x660, 0xB2])
+    many = texts + ["".join(rng.choice(odd) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    for coder in (vocab.ByteIds(held, ranks), vocab.ByteIds(held, None)):
+        for x in many:
+            assert np.frombuffer(coder.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
     path = public_tokenizers.path("word_bpe_49k.json")
     w, text = Tokenizer.from_file(path), vocab.read_tokenizer(path)
     c = vocab.WordCounter(text, vocab.frequent_lengths(text))
