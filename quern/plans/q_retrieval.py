@@ -115,11 +115,11 @@ def r12(spark, d):
     return R.vector_candidates(v.embeddings, _first_vector(v), 20, 0.3).select("id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
 
 
-_CAND = """c AS (SELECT 'part:' || user_id AS node_id, 'n' || user_id AS name, value AS score, event_type AS method, event_id AS pos, user_id % 7 AS query_pos FROM events WHERE event_id % 3 = 0)"""
+_CAND = """c AS (SELECT 'part:' || user_id AS node_id, 'n' || user_id AS name, value AS score, event_type AS method, event_id AS pos, user_id % 7 AS query_pos FROM events)"""
 
 
 def _candidates(v: Views):
-    return v.table("events").where("event_id % 3 = 0").selectExpr(
+    return v.table("events").selectExpr(
         "concat('part:', user_id) AS node_id", "concat('n', user_id) AS name", "value AS score", "event_type AS method", "event_id AS pos", "user_id % 7 AS query_pos"
     )
 

@@ -47,13 +47,13 @@ class Views:
 
     @cached_property
     def links(self) -> DataFrame:
-        """Part to next part of the same order, for one order in sixty."""
-        return self.spark.sql(
-            """SELECT concat('part:', a) AS from_id, concat('part:', b) AS to_id FROM (
-                 SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b
-                 FROM {li} WHERE l_orderkey % 60 = 0) WHERE b IS NOT NULL""",
-            li=self.table("lineitem"),
-        )
+        """Part to next part of the same order where both have one brand: many small components."""
+        kin = self.table("part").selectExpr("p_partkey", "p_brand AS kin")
+        pairs = self.spark.sql(
+            "SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM {li}", li=self.table("lineitem")
+        ).where("b IS NOT NULL")
+        x, y = kin.toDF("a", "ka"), kin.toDF("b", "kb")
+        return pairs.join(x, "a").join(y, "b").where("ka = kb").selectExpr("concat('part:', a) AS from_id", "concat('part:', b) AS to_id")
 
     @cached_property
     def all_links(self) -> DataFrame:
@@ -68,8 +68,9 @@ class Views:
     def evidence(self) -> DataFrame:
         return self.table("documents").selectExpr(
             "concat('doc:', doc_id) AS id", "source AS source_id", "lang AS anchor_ref", "text AS excerpt", "if(doc_id % 10 = 0, 'image', 'text') AS modality",
-            """concat('{"keep":', if(doc_id % 20 = 0, 'false', 'true'), if(doc_id % 30 = 10, ',"image_review_status":"pending"', if(doc_id % 70 = 0, ',"image_review_status":"rejected"', '')),
-               if(doc_id % 50 = 30, ',"image_relevance":"uncertain"', ''), if(doc_id % 29 = 0, ',"synthetic":true', ''), if(doc_id % 31 = 0, ',"quality_excluded":true', ''), '}') AS properties""",
+            """concat('{"image_relevance":{"keep":', if(doc_id % 20 = 0, 'false', 'true'),
+               if(doc_id % 30 = 10, ',"review_status":"pending"', if(doc_id % 70 = 0, ',"review_status":"rejected"', '')), if(doc_id % 50 = 30, ',"relevance":"uncertain"', ''), '}',
+               if(doc_id % 29 = 0, ',"synthetic":true', ''), if(doc_id % 31 = 0, ',"quality_excluded":true', ''), '}') AS properties""",
             "cast(doc_id % 50 + 1 AS int) AS page_start", "cast(if(doc_id % 3 = 0, null, doc_id % 50 + 1 + doc_id % 4) AS int) AS page_end", "doc_id AS key",
         )
 
@@ -132,7 +133,8 @@ SQL = {
   CASE WHEN l_linenumber = 7 THEN 'deprecated' ELSE 'active' END AS status, strftime(l_shipdate, '%Y-%m-%d') AS created_at, ['doc:' || l_orderkey % d] AS source_refs
   FROM lineitem, (SELECT count(*) AS d FROM documents))""",
     "links": """links AS (SELECT 'part:' || a AS from_id, 'part:' || b AS to_id FROM (
-  SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem WHERE l_orderkey % 60 = 0) WHERE b IS NOT NULL)""",
+  SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem) JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b
+  WHERE x.p_brand = y.p_brand)""",
     "evidence": """evidence AS (SELECT 'doc:' || doc_id AS id, source AS source_id, lang AS anchor_ref, text AS excerpt, CASE WHEN doc_id % 10 = 0 THEN 'image' ELSE 'text' END AS modality,
   CASE WHEN doc_id % 20 = 0 THEN false ELSE true END AS keep, CASE WHEN doc_id % 30 = 10 THEN 'pending' WHEN doc_id % 70 = 0 THEN 'rejected' END AS review,
   doc_id % 50 = 30 AS uncertain, doc_id % 29 = 0 AS synthetic, doc_id % 31 = 0 AS quality_excluded,
