@@ -37,6 +37,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 ROUNDS = 40
+#: Rows (about 80 bytes each) up to which the table of shared payloads is broadcast; beyond that the join shuffles.
+BROADCAST = 200_000
 
 
 def tag_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -47,6 +49,10 @@ def tag_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
         p.where(F.col("n") >= least).groupBy("hex", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("k"))
         .where("k > 1").select(F.col("hex").alias("h"), F.col("n").alias("m"), "first", F.lit(True).alias("shared"))
     )
+    # The table of shared payloads is written first: if it is small it is broadcast, so payloads are not shuffled at all.
+    first = scratch(first, "warc")
+    if first.count() <= BROADCAST:
+        first = F.broadcast(first)
     j = p.join(first, (p["hex"] == first["h"]) & (p["n"] == first["m"]), "left")
     revisit = F.coalesce(F.col("shared"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))
     return j.select(
