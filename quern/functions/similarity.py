@@ -37,7 +37,7 @@ def best_ratio(left: list[str], right: list[str], containment: float) -> float:
                 return 1.0
             if a in b or b in a:
                 best = max(best, containment)
-            elif 2 * min(len(a), len(b)) / (len(a) + len(b)) > best:  # the ratio cannot exceed this
+            if 2 * min(len(a), len(b)) / (len(a) + len(b)) > best:  # the ratio cannot exceed this
                 best = max(best, ratio(a, b))
     return best
 
