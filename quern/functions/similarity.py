@@ -92,7 +92,7 @@ def nfkc_udf(a: pd.Series) -> pd.Series:
 
 
 def character_similarity(a, b):
-    """The larger of normalised edit similarity (built in) and the bigram Dice coefficient."""
+    """The larger of normalised edit similarity (built in) and the bigram Dice coefficient; 0 if either is empty."""
     n = F.greatest(F.char_length(a), F.char_length(b))
-    edit = F.when(n == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / n)
-    return F.greatest(edit, dice_udf(a, b))
+    empty = (F.char_length(a) == 0) | (F.char_length(b) == 0)
+    return F.when(empty, 0.0).otherwise(F.greatest(1 - F.levenshtein(a, b) / n, dice_udf(a, b)))

@@ -114,12 +114,19 @@ class Views:
         return self.table("embeddings").select(F.concat(F.lit("part:"), "vec_id").alias("id"), "vec_id", "embedding", "label")
 
     @cached_property
-    def outline(self) -> DataFrame:
-        """One item per heading of every page: book = page, level from the tag, line = place among the headings times 40."""
-        h = self.table("pages").selectExpr("page_id", "regexp_extract_all(html, '<h([1-6])[^>]*>([^<]*)', 1) AS lv", "regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)', 1) AS tx")
-        return h.selectExpr("page_id", "posexplode(arrays_zip(lv, tx)) AS (pos, h)").selectExpr(
-            "page_id AS book_id", "pos", "concat('struct:', page_id, ':h:', pos) AS id", "cast(h.lv AS int) AS level", "h.tx AS title", "pos * 40 + 1 AS md_start"
-        )
+    def markdown(self) -> DataFrame:
+        """book_id, md: the article of every page as markdown; a bold start of a paragraph becomes a second-level heading."""
+        md = F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1)
+        for pattern, text in (("<h1>", "\n# "), ("<p><b>", "\n## "), ("</h1>|</?p>|<br>", "\n"), ("<[^>]*>", "")):
+            md = F.regexp_replace(md, pattern, text)
+        return self.table("pages").select(F.col("page_id").alias("book_id"), md.alias("md"))
+
+    @cached_property
+    def headings(self) -> DataFrame:
+        """book_id, line, level, text of all markdown headings."""
+        from quern.operators.outline import headings
+
+        return headings(self.markdown)
 
 
 #: The same views for DuckDB.
@@ -155,8 +162,10 @@ sections AS (SELECT node_id, i, CASE WHEN i % 2 = 0 THEN k ELSE '' END AS id, CA
     "bodies": """bodies AS (SELECT 'part:' || p_partkey AS node_id, CASE WHEN p_partkey % 15 = 0 THEN ' ' ELSE '# ' || p_name || chr(10) || p_type END AS content,
   CASE WHEN p_partkey % 10 = 0 THEN []::VARCHAR[] ELSE ['doc:' || p_partkey * 11 % d] END AS source_refs FROM part, (SELECT count(*) AS d FROM documents) WHERE p_partkey % 5 = 0)""",
     "vectors": """vectors AS (SELECT 'part:' || vec_id AS id, vec_id, embedding::DOUBLE[] AS e, label FROM embeddings)""",
-    "outline": """outline AS (SELECT page_id AS book_id, pos, 'struct:' || page_id || ':h:' || pos AS id, lv[pos + 1]::INT AS level, tx[pos + 1] AS title, (pos * 40 + 1)::INT AS md_start
-  FROM (SELECT page_id, lv, tx, unnest(range(0, len(lv)))::INT AS pos FROM (SELECT page_id, regexp_extract_all(html, '<h([1-6])[^>]*>([^<]*)', 1) AS lv, regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)', 1) AS tx FROM pages)))""",
+    "markdown": """markdown AS (SELECT page_id AS book_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1),
+  '<h1>', chr(10) || '# ', 'g'), '<p><b>', chr(10) || '## ', 'g'), '</h1>|</?p>|<br>', chr(10), 'g'), '<[^>]*>', '', 'g') AS md FROM pages),
+md_lines AS (SELECT book_id, unnest(string_split(md, chr(10))) AS line, generate_subscripts(string_split(md, chr(10)), 1)::INT AS n FROM markdown),
+headings AS (SELECT book_id, n AS line, length(regexp_extract(line, '^(#{1,6})\\s+(.+)', 1))::INT AS level, trim(regexp_extract(line, '^(#{1,6})\\s+(.+)', 2)) AS text FROM md_lines WHERE regexp_matches(line, '^(#{1,6})\\s+(.+)'))""",
 }
 
 
