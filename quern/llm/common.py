@@ -53,10 +53,32 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, rows: int = 2000) -> DataFrame:
-    """``mapInArrow`` over slices of at most ``rows`` rows, so that working memory does not follow the batch size."""
+_STATES: dict = {}
+
+
+def worker_state(broadcast, make: Callable):
+    """One object per broadcast and Python worker, kept between the tasks of one job; a worker holds one at a time."""
+    key = (broadcast.value[0], make.__qualname__)
+    if key not in _STATES:
+        _STATES.clear()
+        _STATES[key] = make(*broadcast.value[1:])
+    return _STATES[key]
+
+
+def release_state() -> None:
+    """Workers serve job after job: a task without a state of its own frees that of an earlier job."""
+    _STATES.clear()
+
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, rows: int = 2000, stateful: bool = False) -> DataFrame:
+    """``mapInArrow`` over slices of at most ``rows`` rows, so that working memory does not follow the batch size.
+
+    ``stateful``: the function uses ``worker_state``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not stateful:
+            release_state()
         for b in batches:
             for i in range(0, b.num_rows, rows):
                 yield fn(b.slice(i, rows))

@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quern.llm.common import release_state
+
 Q, RATE, SEGMENT, BLOCK = 8, 0.1, 400, 4 << 20
 #: Places worked on at once.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 _CLASS = np.full(256, 32, np.uint8)
 _CLASS[48:58] = np.arange(48, 58)
 _CLASS[97:123] = np.arange(97, 123)
@@ -253,6 +255,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
         held = spark.sparkContext.broadcast(block)
 
         def run(batches, held=held):
+            release_state()
             items = Items(held.value, q, rate)
             for b in batches:
                 for i in range(0, b.num_rows, 512):
@@ -296,6 +299,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
         held = spark.sparkContext.broadcast(block)
 
         def run(batches, held=held):
+            release_state()
             items = Items([(0, t) for _, t in held.value], options.get("q", Q), options.get("rate", RATE))
             for b in batches:
                 for i in range(0, b.num_rows, 512):

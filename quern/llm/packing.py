@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import arrow_map, scratch
-from quern.llm.vocab import ByteIds, byte_ranks, read_tokenizer, worker_state
+from quern.llm.common import arrow_map, scratch, worker_state
+from quern.llm.vocab import ByteIds, byte_ranks, read_tokenizer
 
 SIZE, END = 1024, 2
 ROUNDS, STEP, ETA, POWER = 600, 0.5, 4.0, 1.3
@@ -185,7 +185,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, t
             ["doc_id", "piece", "start", "length", "ids"],
         )
 
-    return arrow_map(docs.select("doc_id", text), run, "doc_id long, piece int, start long, length long, ids binary", 128)
+    return arrow_map(docs.select("doc_id", text), run, "doc_id long, piece int, start long, length long, ids binary", 128, stateful=True)
 
 
 def pack(pieces: DataFrame, size: int = SIZE, rounds: int = ROUNDS) -> DataFrame:

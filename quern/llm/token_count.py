@@ -16,8 +16,8 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.llm.common import arrow_map
-from quern.llm.vocab import WordCounter, frequent_lengths, read_tokenizer, worker_state
+from quern.llm.common import arrow_map, worker_state
+from quern.llm.vocab import WordCounter, frequent_lengths, read_tokenizer
 
 LIMIT = 2048
 
@@ -36,7 +36,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "te
             [key, "n_bytes", "n_tokens", "over_limit"],
         )
 
-    return arrow_map(docs.select(key, text), run, f"{key} long, n_bytes long, n_tokens long, over_limit boolean", 256)
+    return arrow_map(docs.select(key, text), run, f"{key} long, n_bytes long, n_tokens long, over_limit boolean", 256, stateful=True)
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -142,16 +142,3 @@ class ByteIds:
         if not self.fast or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
-
-
-_HELD: dict = {}
-
-
-def worker_state(broadcast, make: Callable):
-    """One object per broadcast and Python worker, kept between tasks; only the latest few stay."""
-    key = (broadcast.value[0], make.__qualname__)
-    if key not in _HELD:
-        while len(_HELD) >= 2:
-            _HELD.pop(next(iter(_HELD)))
-        _HELD[key] = make(*broadcast.value[1:])
-    return _HELD[key]
