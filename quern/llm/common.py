@@ -91,7 +91,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``edges``: columns ``a``, ``b`` (long), any order, repeats and self-loops allowed. Returns ``node``, ``root`` for
     every node that has an edge to another node; ``root`` is the smallest node of the component. Each round is two
-    partial aggregations and two equi-joins (a hub is a skewed join key, which AQE splits); no group is collected.
+    partial aggregations and two equi-joins (a hub is a skewed join key, which AQE splits); no group is collected. One small
+    table is written per round.
     An empty edge table gives an empty result.
     """
     e = scratch(
@@ -102,14 +103,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch(large, "cc")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
         ).distinct()
         nxt = scratch(small, "cc")
         drop_scratch(e)
-        drop_scratch(large)
         e = nxt
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == sign:
