@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,16 +40,19 @@ def drop_scratch(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Fewer rows per Arrow batch for jobs that run inside the block, where rows are large."""
+#: Rows of an Arrow batch in jobs over whole texts.
+BATCH_ROWS = 1000
+
+
+def limit_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lower the session's rows per Arrow batch to ``rows`` if they are more (the default is 10,000).
+
+    Rows here hold whole texts, and both the executor's JVM and its Python worker hold a batch at once. The setting stays:
+    results are lazy, so their jobs run after the operator has returned.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 _STATES: dict = {}
@@ -75,6 +77,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 
     ``stateful``: the function uses ``worker_state``.
     """
+    limit_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not stateful:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quern.llm.common import release_state
+from quern.llm.common import limit_batches, release_state
 
 Q, RATE, SEGMENT, BLOCK = 8, 0.1, 400, 4 << 20
 #: Places worked on at once.
@@ -248,6 +248,7 @@ def blocks(benchmark: DataFrame, key: str, text: str, limit: int = BLOCK) -> Ite
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, key: str = "item_id") -> DataFrame:
     """doc_id, item_id, start, end (bytes of the lower-cased text), edits: one row per document row and item found."""
     spark = docs.sparkSession
+    limit_batches(spark)
     kind = benchmark.schema[key].dataType
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField(key, kind), *(T.StructField(n, T.LongType()) for n in ("start", "end", "edits"))])
     parts = []
@@ -292,6 +293,7 @@ def found_in(b: pa.RecordBatch, items: Items, schema: T.StructType) -> pa.Record
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents in which an item is found; those without an id are judged too and kept or dropped."""
     spark = docs.sparkSession
+    limit_batches(spark)
     fields, out = list(docs.columns), docs
     text_at = fields.index("text")
     small = T.StructType([T.StructField("d", T.LongType()), T.StructField("i", T.LongType()), *(T.StructField(n, T.LongType()) for n in ("start", "end", "edits"))])

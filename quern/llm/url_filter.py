@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quern.llm.common import limit_batches
+
 #: The vocabulary in production use.
 STRICT_TERMS = ("casino", "porn", "xxx", "viagra", "escort", "spam", "phishing", "warez")
 SOFT_TERMS = {
@@ -116,6 +118,8 @@ def url_filter(df: DataFrame, url: str = "url", strict=STRICT_TERMS, soft=None,
     schema = T.StructType(keep + [T.StructField(k, t) for k, t in RESULT])
     names = [f.name for f in keep]
 
+    limit_batches(df.sparkSession)
+
     def run(batches):
         vocabulary, table = Vocabulary(strict, soft, soft_limit), Rules(rules)
         for b in batches:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_map, drop_scratch, scratch, shared_dir, small_batches
+from quern.llm.common import arrow_map, drop_scratch, limit_batches, scratch, shared_dir
 
 MAGIC, BREAK = "WARC/1.0\r\n", "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -85,8 +85,7 @@ def record_text(tagged: DataFrame) -> DataFrame:
 
 def write_warc(pages: DataFrame, path: str, least: int = 0) -> None:
     """Write page_id, url, html as WARC files under ``path``."""
-    with small_batches(pages.sparkSession):
-        record_text(tag_revisits(pages, least)).write.option("lineSep", BREAK).text(path)
+    record_text(tag_revisits(pages, least)).write.option("lineSep", BREAK).text(path)
 
 
 # --- reading -------------------------------------------------------------------------------------------------------
@@ -228,8 +227,8 @@ def reachable(found: DataFrame) -> DataFrame:
 
 def read_warc(spark, path: str) -> DataFrame:
     """file, offset, id, uri, kind, refers, stated (digest in the header), payload_bytes, digest (computed) of every record."""
-    with small_batches(spark):
-        found = scratch(candidates(spark, path), "warc")
+    limit_batches(spark)
+    found = scratch(candidates(spark, path), "warc")
     held = reachable(found)
     drop_scratch(found)
     names = ["id", "uri", "kind", "refers", "stated", "payload_bytes", "digest"]
@@ -279,8 +278,7 @@ def warc_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/quern/warc-{uuid.uuid4().hex}"
     write_warc(pages, path, least)
-    with small_batches(spark):
-        got = scratch(read_warc(spark, path), "warc")
+    got = scratch(read_warc(spark, path), "warc")
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     ident = lambda c: F.when(number(c) != "", number(c).cast("long"))
     rows = got.select(ident("id").alias("page_id"), "payload_bytes", F.coalesce("stated", "digest").alias("payload_digest"), "digest", F.col("kind").alias("record_type"), ident("refers").alias("refers_to"))
