@@ -11,7 +11,7 @@ from quern.sources.views import Views, ctes
 
 
 @register("n1_edge_duplicates", f"""{ctes('edges')}, r AS (SELECT id, first_value(id) OVER w AS kept_id, row_number() OVER w AS k FROM edges WHERE status <> 'deprecated'
-WINDOW w AS (PARTITION BY from_id, to_id, type ORDER BY created_at, id)) SELECT id, kept_id FROM r WHERE k > 1""")
+WINDOW w AS (PARTITION BY from_id, to_id, type ORDER BY created_at, id)) SELECT id, kept_id FROM r WHERE id <> kept_id""")
 def n1(spark, d):
     return N.edge_duplicates(Views(spark, d).edges)
 
@@ -90,7 +90,7 @@ def n10(spark, d):
 
 
 @register("n11_normalize_summary", f"""{ctes('nodes', 'edges', 'profiles', 'cards')} SELECT
-(SELECT sum(k - 1) FROM (SELECT count(*) AS k FROM edges WHERE status <> 'deprecated' GROUP BY from_id, to_id, type))::BIGINT AS duplicate_edges,
+(SELECT count(*) FROM (SELECT id, first_value(id) OVER (PARTITION BY from_id, to_id, type ORDER BY created_at, id) AS kept FROM edges WHERE status <> 'deprecated') WHERE id <> kept) AS duplicate_edges,
 (SELECT count(*) FROM (SELECT DISTINCT node_id, domain FROM profiles WHERE status <> 'deprecated')) AS profile_groups, (SELECT count(DISTINCT node_id) FROM sections) AS modified_cards,
 (SELECT count(*) FROM (SELECT DISTINCT id, lower(t) FROM (SELECT id, unnest(aliases) AS t FROM nodes WHERE status <> 'deprecated') WHERE trim(t) <> '')) + 2 * (SELECT count(*) FROM nodes WHERE status <> 'deprecated') AS terms""")
 def n11(spark, d):
