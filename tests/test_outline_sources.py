@@ -125,3 +125,44 @@ def test_stream_equals_batch(spark, tmp_path):
     q = P.run_to_table(P.windowed_counts(P.read_events(spark, str(tmp_path / "e"), e.schema)), "windowed", "complete", str(tmp_path / "c2"))
     q.awaitTermination()
     assert spark.table("windowed").agg(F.sum("n")).first()[0] == e.count()
+
+
+def lengths(texts):
+    if any(t == "boom" for t in texts):
+        raise RuntimeError("service down")
+    return [[float(len(t)), 1.0, 2.0] for t in texts]
+
+
+def test_embedding_service():
+    from quern.sources import services as V
+
+    assert V.embed_batch(["ab", " ", "c"], lengths, 2) == [[2.0, 1.0], [], [1.0, 1.0]]
+    assert V.embed_batch(["boom", "x"], lengths, 2) == [[], []] and V.embed_batch(["x"], lengths, 9) == [[]]
+
+
+def test_embedding_frame_archives_and_publishing(spark, tmp_path):
+    import io
+    import zipfile
+
+    from quern.sources import services as V
+
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "id long, t string")
+    got = {r.id: r.embedding for r in V.embed(df, "t", lambda ts: [[float(len(t)), 0.0] for t in ts], dimensions=2).collect()}
+    assert got == {1: [3.0, 0.0], 2: [], 3: []}
+
+    def archive(*names):
+        b = io.BytesIO()
+        with zipfile.ZipFile(b, "w") as z:
+            for n in names:
+                z.writestr(n, n)
+        return b.getvalue()
+
+    ok = spark.createDataFrame([("a.zip", archive("x/1.md", "2.png"))], "path string, content binary")
+    assert sorted((r.member, bytes(r.content)) for r in V.archive_members(ok).collect()) == [("2.png", b"2.png"), ("x/1.md", b"x/1.md")]
+    with pytest.raises(Exception, match="unsafe"):
+        V.archive_members(spark.createDataFrame([("b.zip", archive("../evil"))], "path string, content binary")).collect()
+    root = str(tmp_path / "pub")
+    V.publish(df, root, "nodes")
+    assert V.published(spark, root, "nodes").count() == 3
+    V.publish(df.limit(1), root, "nodes")
+    assert V.published(spark, root, "nodes").count() == 1
