@@ -55,6 +55,21 @@ def limit_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: Input bytes that a task over texts should have at least, where that leaves a task for every core.
+TASK_BYTES = 64 << 20
+
+
+def merge_splits(df: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Merge scan splits that are much smaller than ``task_bytes``, without a shuffle and never below one task per core.
+
+    Fewer tasks load fewer models and write fewer small files, each of which costs a round of calls to the file system.
+    Splits of the usual 128 MB are left alone.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # Where the planner knows no size it says a very large one: then nothing is merged.
+    return df.coalesce(min(1 << 30, max(df.sparkSession.sparkContext.defaultParallelism, -(-size // task_bytes))))
+
+
 _STATES: dict = {}
 
 
@@ -86,7 +101,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
             for i in range(0, b.num_rows, rows):
                 yield fn(b.slice(i, rows))
 
-    return df.mapInArrow(run, schema)
+    return merge_splits(df).mapInArrow(run, schema)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quern.llm.common import limit_batches
+from quern.llm.common import limit_batches, merge_splits
 
 #: The vocabulary in production use.
 STRICT_TERMS = ("casino", "porn", "xxx", "viagra", "escort", "spam", "phishing", "warez")
@@ -134,7 +134,7 @@ def url_filter(df: DataFrame, url: str = "url", strict=STRICT_TERMS, soft=None,
                 [b.column(b.schema.get_field_index(n)) for n in names] + [pa.array(c, pa.string()) for c in cols], names + new
             )
 
-    return df.mapInArrow(run, schema)
+    return merge_splits(df).mapInArrow(run, schema)
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
