@@ -257,22 +257,22 @@ def links(distinct: DataFrame, tau: int = TAU, hot: int = HOT) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, k: int = 3, tau: int = TAU, hot: int = HOT) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable by links) for every row of ``docs``."""
+    """doc_id, fp, component_id (smallest doc_id reachable by links) and root (smallest fp so) for every row of ``docs``."""
     fps = scratch(fingerprints(docs, k), "fps")
     distinct = scratch(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
     root = components(links(distinct, tau, hot))
     rooted = distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = scratch(rooted, "fps")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "component_id", "root")
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without all but one document of each group; the kept one is that with the smallest doc_id.
 
-    Rows that repeat a doc_id are told apart by their fingerprints: of those that repeat the kept document of one group
-    one stays. Documents without an id are never dropped.
+    Rows that repeat a doc_id are told apart by their groups: of those that repeat the kept document of a group one stays.
+    Documents without an id are never dropped.
     """
     groups = scratch(simhash_groups(docs, **options), "groups")
     ids = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") != F.col("component_id")).alias("gone"))
@@ -281,16 +281,18 @@ def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
     again = docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     fields, k = list(docs.columns), options.get("k", 3)
     at = fields.index("text")
+    own, group = "quern_fp", "quern_group"
+    while {own, group} & set(fields):
+        own, group = own + "_", group + "_"
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(x.as_py(), k) for x in b.column(at).cast(pa.large_binary())], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], [*fields, "quern_fp"])
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], [*fields, own])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("quern_fp", T.LongType())])
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("quern_id"), F.col("fp").alias("quern_fp")).distinct()
-    one = arrow_map(again, run, schema, 256)
-    one = one.join(kept, (F.col("doc_id") == F.col("quern_id")) & (one["quern_fp"] == kept["quern_fp"]), "left_semi")
-    return plain.select(*fields).unionByName(one.dropDuplicates(["doc_id"]).select(*fields))
+    schema = T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())])
+    kept = groups.where("doc_id = component_id").select("doc_id", F.col("fp").alias(own), F.col("root").alias(group)).distinct()
+    one = arrow_map(again, run, schema, 256).join(kept, ["doc_id", own])
+    return plain.select(*fields).unionByName(one.dropDuplicates([group]).select(*fields))
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
