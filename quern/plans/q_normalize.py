@@ -104,7 +104,7 @@ def n12(spark, d):
     return N.distinct_values((t("documents"), "source"), (t("customer"), "c_mktsegment"), (t("orders"), "o_orderpriority"), (t("events"), "event_type"), (t("region"), "r_name"))
 
 
-@register("n13_evidence_links", f"""{ctes('edges', 'profiles', 'mentions', 'cards')} SELECT owner_type, ordinal, count(*) AS n, count(DISTINCT evidence_id) AS evidence FROM (
+@register("n13_evidence_links", f"""{ctes('edges', 'profiles', 'mentions', 'cards')} SELECT owner_type, ordinal::INT AS ordinal, count(*) AS n, count(DISTINCT evidence_id) AS evidence FROM (
 SELECT 'edge' AS owner_type, unnest(source_refs) AS evidence_id, unnest(range(1, len(source_refs) + 1))::INT AS ordinal FROM edges UNION ALL SELECT 'domain_profile', unnest(source_refs), unnest(range(1, len(source_refs) + 1)) FROM profiles
 UNION ALL SELECT 'mention', unnest(source_refs), unnest(range(1, len(source_refs) + 1)) FROM mentions UNION ALL SELECT 'node_card', unnest(source_refs), unnest(range(1, len(source_refs) + 1)) FROM cards) GROUP BY ALL""")
 def n13(spark, d):

@@ -62,7 +62,7 @@ def d4(spark, d):
 
 @register("d5_d12_spans", """WITH e AS (SELECT l_orderkey AS book_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line, (l_partkey % 3 + 1)::INT AS level, (l_linenumber * 10)::INT AS page FROM lineitem),
 f AS (SELECT *, (SELECT arg_min(page, line) FROM e n WHERE n.book_id = e.book_id AND n.line > e.line AND n.level <= e.level) AS nxt FROM e)
-SELECT book_id, line, CASE WHEN nxt IS NOT NULL THEN greatest(page, nxt - 1) END::INT AS "end", CASE WHEN nxt IS NOT NULL THEN greatest(page, nxt - 1) - page + 1 ELSE 0 END::INT AS pages FROM f""")
+SELECT book_id, line::INT AS line, CASE WHEN nxt IS NOT NULL THEN greatest(page, nxt - 1) END::INT AS "end", CASE WHEN nxt IS NOT NULL THEN greatest(page, nxt - 1) - page + 1 ELSE 0 END::INT AS pages FROM f""")
 def d5(spark, d):
     li = spark.sql("SELECT l_orderkey AS book_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line, cast(l_partkey % 3 + 1 AS int) AS level, l_linenumber * 10 AS page FROM {t}", t=Views(spark, d).table("lineitem"))
     e = O.range_ends(li).withColumn("end", F.when(F.col("end").isNotNull(), F.col("end")))

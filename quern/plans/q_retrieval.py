@@ -139,7 +139,7 @@ def r14(spark, d):
     return R.best_of_queries(_candidates(Views(spark, d))).select("node_id", "score", "query_pos")
 
 
-@register("r15_rank_rows", f"""WITH {_CAND} SELECT query_pos, node_id, score, row_number() OVER (PARTITION BY query_pos ORDER BY score DESC, node_id) AS rank
+@register("r15_rank_rows", f"""WITH {_CAND} SELECT query_pos, node_id, score, row_number() OVER (PARTITION BY query_pos ORDER BY score DESC, node_id)::INT AS rank
 FROM (SELECT query_pos, node_id, max(score) AS score FROM c GROUP BY ALL)""")
 def r15(spark, d):
     return R.rank_rows(_candidates(Views(spark, d)), "query_pos")
