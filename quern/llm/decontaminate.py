@@ -21,6 +21,7 @@ keeps all columns of the documents that stay.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quern.llm.common import limit_batches, release_state
+from quern.llm.common import limit_batches, merge_splits, worker_state
 
 Q, RATE, SEGMENT, BLOCK = 8, 0.1, 400, 4 << 20
 #: Places worked on at once.
@@ -253,17 +254,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField(key, kind), *(T.StructField(n, T.LongType()) for n in ("start", "end", "edits"))])
     parts = []
     for block in blocks(benchmark, key, "text"):
-        held = spark.sparkContext.broadcast(block)
+        held = spark.sparkContext.broadcast((uuid.uuid4().hex, block, q, rate))
 
         def run(batches, held=held):
-            release_state()
-            items = Items(held.value, q, rate)
+            items = worker_state(held, Items)
             for b in batches:
                 for i in range(0, b.num_rows, 512):
                     c = b.slice(i, 512)
                     yield found_in(c, items, schema)
 
-        parts.append(docs.select("doc_id", "text").mapInArrow(run, schema))
+        parts.append(merge_splits(docs.select("doc_id", "text")).mapInArrow(run, schema))
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]
@@ -294,15 +294,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     """``docs`` without the documents in which an item is found; those without an id are judged too and kept or dropped."""
     spark = docs.sparkSession
     limit_batches(spark)
-    fields, out = list(docs.columns), docs
+    fields, out = list(docs.columns), merge_splits(docs)
     text_at = fields.index("text")
     small = T.StructType([T.StructField("d", T.LongType()), T.StructField("i", T.LongType()), *(T.StructField(n, T.LongType()) for n in ("start", "end", "edits"))])
     for block in blocks(benchmark, "item_id", "text"):
-        held = spark.sparkContext.broadcast(block)
+        held = spark.sparkContext.broadcast((uuid.uuid4().hex, [(0, t) for _, t in block], options.get("q", Q), options.get("rate", RATE)))
 
         def run(batches, held=held):
-            release_state()
-            items = Items([(0, t) for _, t in held.value], options.get("q", Q), options.get("rate", RATE))
+            items = worker_state(held, Items)
             for b in batches:
                 for i in range(0, b.num_rows, 512):
                     c = b.slice(i, 512)
