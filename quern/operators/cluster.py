@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,42 @@ def _nearest(centroids: Sequence[Sequence[float]]) -> Column:
     return (F.array_position(sims, F.array_max(sims)) - 1).cast("int").alias("label")
 
 
+def _matrix(b: pa.RecordBatch) -> np.ndarray:
+    return b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
+
+def _farthest(points: DataFrame, centroids: Sequence[Sequence[float]]) -> DataFrame:
+    """Per batch the point whose best similarity to the centroids is lowest (ties: the smaller id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = np.array(centroids).T
+        for b in batches:
+            if b.num_rows:
+                best, ids = (_matrix(b) @ c).max(axis=1), b.column(0).to_pylist()
+                i = min(np.flatnonzero(best == best.min()).tolist(), key=lambda j: ids[j])
+                yield pa.RecordBatch.from_pydict({"id": [ids[i]], "best": [float(best[i])], "v": [_matrix(b)[i].tolist()]})
+
+    return points.select("id", "v").mapInArrow(run, "id string, best double, v array<double>")
+
+
+def _sums(points: DataFrame, centroids: Sequence[Sequence[float]]) -> DataFrame:
+    """Per task the sums of the vectors nearest to each centroid, by dimension: at most 12 times the dimensions rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = np.array(centroids)
+        total, n = np.zeros_like(c), np.zeros(len(c), np.int64)
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b)
+                label = (x @ c.T).argmax(axis=1)
+                np.add.at(total, label, x)
+                n += np.bincount(label, minlength=len(c))
+        rows, cols = np.nonzero(np.repeat(n[:, None] > 0, c.shape[1], axis=1))
+        yield pa.RecordBatch.from_pydict({"label": rows.astype(np.int32), "d": cols.astype(np.int32), "s": total[rows, cols], "n": n[rows]})
+
+    return points.select("id", "v").mapInArrow(run, "label int, d int, s double, n long")
+
+
 def spherical_kmeans(points: DataFrame, rounds: int = 12, count: int | None = None) -> DataFrame:
     """V3: deterministic communities over (id, embedding): id, community. Points of other lengths than the first id's are left out.
 
@@ -38,7 +76,7 @@ def spherical_kmeans(points: DataFrame, rounds: int = 12, count: int | None = No
     (ties: the smaller id). Each round is one aggregation by (label, dimension); centroids (at most 12 short vectors) are the
     only thing on the driver. Labels are numbered by their smallest member.
     """
-    p = points.select("id", V.unit("embedding").alias("v")).where("v is not null")
+    p = points.select(F.col("id").cast("string").alias("id"), V.unit("embedding").alias("v")).where("v is not null")
     first = p.orderBy("id").limit(1).collect()
     if not first:
         return points.select("id", F.lit(0).alias("community")).limit(0)
@@ -47,18 +85,16 @@ def spherical_kmeans(points: DataFrame, rounds: int = 12, count: int | None = No
     k = count or community_count(p.count())
     centroids = [list(first[0]["v"])]
     while len(centroids) < k:
-        best = F.array_max(_similarities(centroids))
-        centroids.append(list(p.orderBy(best, "id").limit(1).collect()[0]["v"]))
+        centroids.append(list(_farthest(p, centroids).orderBy("best", "id").limit(1).collect()[0]["v"]))
     for _ in range(rounds):
-        sums = p.select(_nearest(centroids), F.posexplode("v").alias("d", "x")).groupBy("label", "d").agg(F.avg("x").alias("m")).collect()
+        sums = _sums(p, centroids).groupBy("label", "d").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
+        mean = {}
+        for r in sums:
+            mean.setdefault(r["label"], [0.0] * dim)[r["d"]] = r["s"] / r["n"]
         new = [list(c) for c in centroids]
-        for label in {r["label"] for r in sums}:
-            mean = [0.0] * dim
-            for r in sums:
-                if r["label"] == label:
-                    mean[r["d"]] = r["m"]
-            size = math.sqrt(sum(x * x for x in mean)) or 1.0
-            new[label] = [x / size for x in mean]
+        for label, m in mean.items():
+            size = math.sqrt(sum(x * x for x in m)) or 1.0
+            new[label] = [x / size for x in m]
         done = new == centroids
         centroids = new
         if done:

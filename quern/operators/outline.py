@@ -231,7 +231,8 @@ def chunk_plan(leaves: DataFrame, heads: DataFrame, **limits: int) -> DataFrame:
         chunks = plan_book(rows, [(h["line"], h["text"]) for h in found], **limits)
         return pd.DataFrame([(pdf["book_id"].iloc[0], c.start, c.end, c.role, c.title, c.how, ",".join(c.sources)) for c in chunks], columns=["book_id", "start", "end", "role", "title", "how", "sources"])
 
-    return j.groupBy("book_id").applyInPandas(run, "book_id long, start long, end long, role string, title string, how string, sources string")
+    n = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return j.repartition(n, "book_id").groupBy("book_id").applyInPandas(run, "book_id long, start long, end long, role string, title string, how string, sources string")
 
 
 def chunk_sizes(chunks: DataFrame) -> DataFrame:
@@ -347,12 +348,23 @@ def _bare(s: str) -> str:
 
 
 def _edit(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        old, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
-    return row[-1]
+    """Edit distance, one machine-independent bit vector per character of b (Myers' algorithm on Python integers)."""
+    if not a or not b:
+        return max(len(a), len(b))
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for c in b:
+        eq = where.get(c, 0)
+        x = (((eq & up) + up) ^ up) | eq
+        more, less = (down | ~(x | up)) & full, up & x
+        score += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & full, (less << 1) & full
+        v = eq | down
+        up, down = (less | ~(v | more)) & full, more & v
+    return score
 
 
 def _alike(a: str, b: str) -> float:
@@ -427,7 +439,9 @@ def align_outlines(items: DataFrame, heads: DataFrame) -> DataFrame:
                     rows.append((book, i["id"], line, conf, kind, "unmatched" if line is None else "matched" if conf >= 0.85 else "warning"))
             yield pd.DataFrame(rows, columns=["book_id", "id", "line", "confidence", "match_type", "status"]).astype({"line": "Int64"})
 
-    return a.join(b, "book_id", "left").select("book_id", "items", "heads").mapInPandas(run, "book_id long, id string, line long, confidence double, match_type string, status string")
+    # Few bytes but much work per book: a fixed number of partitions, which AQE does not merge.
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return a.join(b, "book_id", "left").select("book_id", "items", "heads").repartition(n, "book_id").mapInPandas(run, "book_id long, id string, line long, confidence double, match_type string, status string")
 
 
 def parent_starts(items: DataFrame) -> DataFrame:

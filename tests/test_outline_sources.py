@@ -48,6 +48,21 @@ def test_heading_match_and_alignment():
     assert [(r[0], r[1]) for r in O.align(items, heads)] in ([("b", 1), ("c", 9)], [("a", 5), ("c", 9)])
 
 
+def test_edit_distance_equals_the_table():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        assert O._edit(a, b) == row[-1]
+
+
 def test_evidence_hints():
     text = "| a | b |\n|---|---|\n| 1 | 2 |\n\n$$\nx = 1\n$$\ninline $y$ here\n![alt](p.png)\n| lone |\nend\n$$ z $$\n$$\nopen"
     got = [(h["modality"], h["locator"]) for h in O.evidence_hints(text)]
