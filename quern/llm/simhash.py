@@ -22,6 +22,7 @@ further columns cannot clash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -268,26 +269,27 @@ def simhash_groups(docs: DataFrame, k: int = 3, tau: int = TAU, hot: int = HOT)
     return fps.join(named, "fp").select("doc_id", "fp", "component_id", "root")
 
 
-def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, groups: DataFrame, hashed: Callable[[bytes | None], int]) -> DataFrame:
     """``docs`` without all but one document of each group; the kept one is that with the smallest doc_id.
 
+    ``groups``: as ``simhash_groups``; ``hashed`` gives the fp of a text as a signed integer.
     Rows that repeat a doc_id are told apart by their groups: of those that repeat the kept document of a group one stays.
     Documents without an id are never dropped.
     """
-    groups = scratch(simhash_groups(docs, **options), "groups")
+    groups = scratch(groups, "groups")
     ids = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") != F.col("component_id")).alias("gone"))
     ids = scratch(ids.where("doc_id is not null and (n > 1 or gone)"), "groups")
     plain = docs.join(ids.select("doc_id"), "doc_id", "left_anti")
     again = docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    fields, k = list(docs.columns), options.get("k", 3)
+    fields = list(docs.columns)
     at = fields.index("text")
     own, group = "quern_fp", "quern_group"
     while {own, group} & set(fields):
         own, group = own + "_", group + "_"
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(x.as_py(), k) for x in b.column(at).cast(pa.large_binary())], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], [*fields, own])
+        fps = pa.array([hashed(x.as_py()) for x in b.column(at).cast(pa.large_binary())], pa.int64())
+        return pa.RecordBatch.from_arrays([*b.columns, fps], [*fields, own])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())])
     kept = groups.where("doc_id = component_id").select("doc_id", F.col("fp").alias(own), F.col("root").alias(group)).distinct()
@@ -295,6 +297,12 @@ def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
     return plain.select(*fields).unionByName(one.dropDuplicates([group]).select(*fields))
 
 
+def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without all but one document of each group of ``simhash_groups``; see ``keep_one``."""
+    k = options.get("k", 3)
+    return keep_one(docs, simhash_groups(docs, **options), lambda x: int(np.uint64(fingerprint(x, k)).view(np.int64)))
+
+
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return simhash_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
