@@ -12,7 +12,7 @@ The spans of the literals that reach ``LEAST`` are added as kind ``lexed``; base
 
 Spans are in code points, end exclusive, ordered by start, then kind. Defined results: null and empty texts have no
 spans; repeated rows and null ids are scanned row by row; an empty table gives an empty result. The scan is map-only and
-its work per text is linear, so hot sources and long texts need no dealing. ``scan`` reads only the key and the text;
+no literal, value or number of parts is cut; its work per text is linear, so hot sources and long texts need no dealing. ``scan`` reads only the key and the text;
 ``redact`` keeps all columns.
 """
 
@@ -41,16 +41,19 @@ WEAK = ("auth", "key", "pass", "salt", "signature", "cert", "pin", "cred")
 LESS = ("url", "uri", "path", "file", "name", "type", "length", "size", "count", "field", "label", "hint", "public", "expiry", "expires", "ttl", "header", "prompt", "id")
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|changeme|change_me|placeholder|example.*|your[_-].*|todo|none|null|nil|true|false|undefined|test|dummy|sample.*|<.*>|\$\{.*\}|\$\(.*\)|%\(.*\)s|\{\{.*\}\}|os\.environ.*|process\.env.*)$")
 LEAST, SHORTEST = 1.0, 6
+#: Values up to this length are kept as text; longer ones by their counts and ends, which give the same score.
+PLAIN = 4000
 
 PAIR = re.compile(
     r"""(?:(?P<q>["'`])(?P<quoted>[^"'`\n]{1,80})(?P=q)[ \t]*\]?|(?P<ident>[A-Za-z_$@][\w$.\-]{0,80}))[ \t]*"""
     r"""(?::[ \t]*[A-Za-z_][\w.\[\]|]{0,40}[ \t]*=(?![=~>])|:=|=>|=(?![=~>])|:(?![:/=]))[ \t]*""",
     re.A,
 )
-QUOTED = re.compile(r"""[rRbBuUfF]{0,2}(?:(?P<t>\"{3}|'{3})(?P<long>.{0,4000}?)(?P=t)|"(?P<d>(?:\\.|[^"\\\n]){0,4000})"|'(?P<s>(?:\\.|[^'\\\n]){0,4000})'|`(?P<b>[^`\n]{0,4000})`)""", re.S)
-BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]{1,4000}""")
+QUOTED = re.compile(r"""[rRbBuUfF]{0,2}(?:(?P<t>\"{3}|'{3})(?P<long>.*?)(?P=t)|"(?P<d>(?:\\.|[^"\\\n]++)*+)"|'(?P<s>(?:\\.|[^'\\\n]++)*+)'|`(?P<b>[^`\n]*+)`)""", re.S)
+BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]++""")
 PLUS = re.compile(r"""[ \t]*[+.][ \t]*(?=["'`A-Za-z_])""")
-NAME = re.compile(r"[A-Za-z_$@][\w$.\-]*\Z", re.A)
+NAME = re.compile(r"[A-Za-z_$@][\w$.\-]*+\Z", re.A)
+PART, HEAD = re.compile(r"[\w$.\-]*+"), re.compile(r"[\w$]*+", re.A)
 _TRIGGERS = (*STRONG, "api_key", "access_key", "private_key", "client_key", *WEAK)
 
 
@@ -62,80 +65,163 @@ def name_score(name: str) -> float:
     return score - 1.0 if score and parts and (parts[-1] in LESS or "public" in parts) else score
 
 
-def literal_score(value: str, quoted: bool) -> float:
+class Value:
+    """A value by what its score needs: length, counts of characters, both ends, and the text where it is short.
+
+    So a concatenation costs as much as its alphabet, however long the joined value is.
+    """
+
+    __slots__ = ("n", "counts", "head", "tail", "text")
+
+    def __init__(self, n: int, counts: Counter, head: str, tail: str, text: str | None):
+        self.n, self.counts, self.head, self.tail, self.text = n, counts, head, tail, text
+
+    @classmethod
+    def of(cls, text: str, counts: Counter | None = None) -> Value:
+        return cls(len(text), Counter(text) if counts is None else counts, text[:32], text[-4:], text if len(text) <= PLAIN else None)
+
+    @classmethod
+    def joined(cls, parts: list[Value]) -> Value:
+        if len(parts) == 1:
+            return parts[0]
+        n, head, tail, counts = sum(p.n for p in parts), "", "", Counter()
+        for p in parts:
+            if len(head) < 32:
+                head = (head + p.head)[:32]
+            tail = (tail + p.tail)[-4:]
+            counts.update(p.counts)
+        return cls(n, counts, head, tail, "".join(p.text for p in parts) if n <= PLAIN else None)
+
+    def sketch(self) -> str:
+        """The text, or for a long value one with the same ends and the same set of characters."""
+        if self.text is not None:
+            return self.text
+        last = self.tail[-1] == "\n" and self.counts["\n"] == 1
+        return self.head + "".join(c for c in self.counts if not (last and c == "\n")) + self.tail
+
+
+def literal_score(value: str | Value, quoted: bool) -> float:
     """How much a literal looks like a secret; below zero for placeholders, short values and prose."""
-    if len(value) < SHORTEST or PLACEHOLDER.match(value):
+    value = Value.of(value) if isinstance(value, str) else value
+    n, form = value.n, value.sketch()
+    if n < SHORTEST or PLACEHOLDER.match(form):
         return -1.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
+    entropy = -sum(c / n * math.log2(c / n) for c in value.counts.values())
+    kinds = sum(bool(re.search(p, form)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
     score = 0.25 * (entropy >= 2.5) + 0.25 * (entropy >= 3.2 and n >= 16) + 0.15 * (kinds >= 2) + 0.1 * (kinds >= 3) + 0.1 * quoted
-    if re.search(r"\s", value):
+    if re.search(r"\s", form):
         score -= 0.5
-    if not quoted and not re.search("[0-9]", value):
+    if not quoted and not re.search("[0-9]", form):
         score -= 0.6
     return score
 
 
-def expression(text: str, at: int, constants: dict) -> tuple[str, list[tuple[int, int]], bool, str | None]:
-    """(value, literal spans, all quoted, the single name it is) of the expression at ``at``."""
+class Runs:
+    """Bare values of one text. Those of ``a=b=c=...`` end together: a long run's end is sought once, its characters counted once."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.end, self.at, self.counts = text, 0, 0, 0, None
+
+    def end_of(self, at: int) -> int:
+        """The end of the run of bare characters at ``at``; ``at`` itself if there is none."""
+        if not self.start <= at < self.end:
+            m = BARE.match(self.text, at)
+            if not m:
+                return at
+            self.start, self.end, self.counts = at, m.end(), None
+        return self.end
+
+    def stripped(self, at: int, end: int) -> int:
+        while end > at and self.text[end - 1] in ".:":
+            end -= 1
+        return end
+
+    def value(self, at: int, end: int) -> Value:
+        text = self.text
+        if end - at <= PLAIN:
+            return Value.of(text[at:end])
+        if self.counts is None or at < self.at or self.counts[1] != end:
+            self.counts = (Counter(text[at:end]), end)
+        else:
+            self.counts[0].subtract(text[self.at : at])
+        self.at = at
+        return Value(end - at, +self.counts[0], text[at : at + 32], text[end - 4 : end], None)
+
+
+def expression(text: str, at: int, constants: dict, runs: Runs) -> tuple[Value, list, bool, str | None]:
+    """(value, literal spans, all quoted, the single name it is) of the expression at ``at``.
+
+    Spans are a list of (start, end) and of such lists, which constants share.
+    """
     value, spans, quoted, only, first = [], [], True, None, True
     while True:
         if (m := QUOTED.match(text, at)) and m.end() > at:
             group = m.lastgroup if m.lastgroup != "t" else "long"
-            value.append(m[group])
+            value.append(Value.of(m[group]))
             spans.append(m.span(group))
-        elif m := BARE.match(text, at):
-            word = m[0] if first else re.match(r"[\w$.\-]*", m[0])[0]
-            name = re.match(r"[\w$]*", word, re.A)[0]
-            end = at + len(word)
+            end = m.end()
+        elif (stop := runs.end_of(at)) > at:
+            end = stop if first else PART.match(text, at, stop).end()
+            # Names of constants have at most 81 characters.
+            word = text[at:end] if end - at <= 81 else None
+            name = HEAD.match(text, at, min(end, at + 82))[0]
             if word in constants or name in constants:
                 known = word if word in constants else name
                 v, s, q = constants[known]
                 value.append(v)
-                spans += s
+                spans.append(s)
                 quoted, end = quoted and q, at + len(known)
             elif first:
-                word = word.rstrip(".:")
-                value.append(word)
-                spans.append((at, at + len(word)))
-                quoted, only, end = False, word if NAME.match(word) else None, at + len(word)
+                end = runs.stripped(at, end)
+                value.append(runs.value(at, end))
+                spans.append((at, end))
+                quoted, only = False, m[0] if (m := NAME.match(text, at, end)) else None
             else:
                 quoted = False
-            m = None
         else:
             break
-        at = m.end() if m else end
+        at = end
         first = False
         if not (p := PLUS.match(text, at)):
             break
         at = p.end()
         only = None
-        if len(spans) > 64:
-            break
-    return "".join(value), spans, quoted, only
+    return Value.joined(value) if value else Value.of(""), spans, quoted, only
 
 
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of literals whose values reach sensitive names with a score of ``LEAST`` or more."""
     constants: dict[str, tuple] = {}
     found: set[tuple[int, int]] = set()
+    runs, marked = Runs(text), {}
+
+    def mark(spans: list) -> None:
+        """Add all spans below; every shared list is walked once (``marked`` keeps it, so its id stays its own)."""
+        todo = [spans]
+        while todo:
+            at = todo.pop()
+            if isinstance(at, tuple):
+                found.add(at)
+            elif id(at) not in marked:
+                marked[id(at)] = at
+                todo += at
+
     waiting: list[tuple[str, str, int]] = []
     for m in PAIR.finditer(text):
         name = m["quoted"] or m["ident"]
-        value, spans, quoted, only = expression(text, m.end(), constants)
+        value, spans, quoted, only = expression(text, m.end(), constants, runs)
         chained = [a for a, b, end in waiting if b == name and end == m.start()]
         waiting = [(a, name, m.start()) for a in chained]
         if only and PAIR.match(text, m.end()):
             waiting = [(x, only, m.end()) for x in [name, *chained]]
             continue
-        if not spans or len(value) > 4000:
+        if not spans:
             continue
         for target in [name, *chained]:
             constants[target] = (value, spans, quoted)
             score = name_score(target)
             if score > 0 and (look := literal_score(value, quoted)) > 0 and score + look >= LEAST:
-                found.update(spans)
+                mark(spans)
     return sorted(s for s in found if s[1] > s[0])
 
 

@@ -57,3 +57,37 @@ def test_operator_query_and_redaction(spark, tmp_path):
     texts = {r.doc_id: r.text for r in red.collect()}
     assert texts[None] == "[SECRET]" and texts[0] is None and texts[7] == "token=abc [SECRET]"
     assert S.scan(df.limit(0)).count() == 0
+
+
+def secret(n, seed=1):
+    import random
+
+    rng = random.Random(seed)
+    return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+
+
+def test_long_secrets_are_redacted_whole():
+    key = secret(10_000)
+    for form in ("private_key={}", "private_key = {}", 'private_key = "{}"', "private_key = '{}'", "private_key = `{}`", 'private_key = """{}"""', "private_key = '''{}'''", '{{"private_key": "{}"}}'):
+        text = f"first line\n{form.format(key)}\nlast line"
+        assert lexed(text) == [key], form
+        assert S.redact_text(text) == f"first line\n{form.format('[SECRET]')}\nlast line"
+
+
+def test_long_concatenations_and_growing_constants():
+    parts = [secret(20, i) for i in range(200)]
+    assert lexed("private_key = " + " + ".join(f'"{p}"' for p in parts)) == parts
+    assert lexed('k = ""\n' + "".join(f"k = k + '{p}'\n" for p in parts) + "client_key = k") == parts
+    assert lexed("private_key = '" + "x" * 9000 + "'") == [] and lexed("private_key = '${" + secret(9000) + "}'") == []
+
+
+def test_work_on_long_texts_is_linear():
+    import time
+
+    began = time.perf_counter()
+    key = secret(30)
+    assert lexed(f"a = '{key}'\n" + "a = a + a\n" * 3000 + "private_key = a") == [key]
+    assert len(S.lexed("".join(f"token{i}=" for i in range(20_000)) + secret(5000))) == 20_000
+    assert len(lexed(f"private_key = '{key}'\n" + f"private_key = private_key + '{key}'\n" * 5_000)) == 5_001
+    assert lexed("private_key = '" + "\\a" * 100_000) == [] and lexed("a='" * 50_000) == []
+    assert time.perf_counter() - began < 60
