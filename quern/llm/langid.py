@@ -7,7 +7,9 @@ is the one with the highest sum, its score that language's share after a softmax
 
 The model is fitted on a bounded sample: about ``SAMPLE`` documents of each language, chosen by a hash of the id, and
 keeps at most ``ENTRIES`` words in all and ``GRAMS`` n-grams of each length and language, so it can be broadcast.
-Everything else covers all documents: every whole text is scored, in one map without a shuffle.
+Everything else covers all documents: every whole text is scored, in one map without a shuffle. Runs of more than
+``LONGEST`` letters, as in scripts without spaces, are no entries of the word table; they are fitted and scored by the
+n-grams of the whole run.
 
 Defined results: a text that is null or has no letter, or any text if no language was learned, gives ``und`` with score 0.
 Words without a known part score nothing. Ties go to the language that sorts first. A null doc_id is never learned from
@@ -42,49 +44,78 @@ def learnable() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 4 != 2
 
 
-def word_counts(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[tuple[str, str, int]]]:
-    """(languages, rows of language, word, count) of the sample; both bounded."""
+def grams_of(word: str, k: int, start: int = 0, stop: int | None = None):
+    """The n-grams of length k of a word, ``^`` and ``$`` at its ends except for single characters."""
+    padded = word if k == 1 else f"^{word}$"
+    last = len(padded) - k + 1
+    return (padded[i : i + k] for i in range(start, last if stop is None else min(stop, last)))
+
+
+def word_counts(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[tuple[str, str, int]], list[tuple[str, str, int]]]:
+    """(languages, rows of language, word, count of the sample, the same of n-grams of words over ``LONGEST``); all bounded.
+
+    A word over ``LONGEST`` letters is a run without spaces: it gives all its n-grams and no entry in the table of words.
+    """
     limit_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable())
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()}
     if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not sizes:
-        return [], []
+        return [], [], []
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text")
 
+    def flushed(held: dict):
+        flat = [(lang, k, w, n) for (lang, k), c in held.items() for w, n in c.items()]
+        held.clear()
+        for i in range(0, len(flat), 50_000):
+            langs, ks, words, ns = zip(*flat[i : i + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ks, pa.int32()), pa.array(words, pa.string()), pa.array(ns, pa.int64())], ["lang", "k", "word", "n"])
+
     def count(batches):
-        held: dict[str, Counter] = {}
+        held: dict[tuple[str, int], Counter] = {}  # k is 0 for words
+        runs: dict[tuple[str, int], Counter] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held.setdefault(lang, Counter()).update(w for w in WORD.findall(text.as_py().lower()) if len(w) <= LONGEST)
-        flat = [(lang, w, n) for lang, c in held.items() for w, n in c.items()]
-        for i in range(0, len(flat), 50_000):
-            langs, words, ns = zip(*flat[i : i + 50_000])
-            yield pa.RecordBatch.from_pydict({"lang": langs, "word": words, "n": ns})
-
-    counts = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = counts.withColumn("rank", rank).where(F.col("rank") <= max(1000, ENTRIES // len(sizes)))
-    got = top.select("lang", "word", "n").toArrow()
-    return sorted(sizes), list(zip(*(got.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True))
+                words = WORD.findall(text.as_py().lower())
+                held.setdefault((lang, 0), Counter()).update(w for w in words if len(w) <= LONGEST)
+                for w in words:
+                    if len(w) <= LONGEST:
+                        continue
+                    for k in ORDERS:
+                        for i in range(0, len(w) + 2, SPACE):
+                            runs.setdefault((lang, k), Counter()).update(grams_of(w, k, i, i + SPACE))
+                            if sum(map(len, runs.values())) > 4 * SPACE:
+                                yield from flushed(runs)
+        yield from flushed(held)
+        yield from flushed(runs)
+
+    counts = chosen.mapInArrow(count, "lang string, k int, word string, n long").groupBy("lang", "k", "word").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "word"))
+    most = max(1000, ENTRIES // len(sizes))
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("k") == 0, most).otherwise(min(GRAMS, most)))
+    got = top.select("lang", "k", "word", "n").toArrow()
+    flat = list(zip(*(got.column(c).to_pylist() for c in ("lang", "k", "word", "n")), strict=True))
+    return sorted(sizes), [(lang, w, n) for lang, k, w, n in flat if k == 0], [(lang, w, n) for lang, k, w, n in flat if k]
 
 
 class Model:
     """Log frequencies of words and n-grams per language."""
 
-    def __init__(self, langs: list[str], counts: list[tuple[str, str, int]], grams: int = GRAMS):
+    def __init__(self, langs: list[str], counts: list[tuple[str, str, int]], runs: list[tuple[str, str, int]] = (), grams: int = GRAMS):
         self.langs = langs
         at = {x: i for i, x in enumerate(langs)}
         self.words, self.word_table = self.table(((at[lang], w, n) for lang, w, n in counts))
         parts = {k: Counter() for k in ORDERS}
         for lang, w, n in counts:
             for k in ORDERS:
-                padded, c = w if k == 1 else f"^{w}$", parts[k]
-                for i in range(len(padded) - k + 1):
-                    c[at[lang], padded[i : i + k]] += n
+                c = parts[k]
+                for g in grams_of(w, k):
+                    c[at[lang], g] += n
+        for lang, g, n in runs:
+            parts[len(g)][at[lang], g] += n
         self.grams = {}
         for k in ORDERS:
             rows, kept = Counter(), []
@@ -104,8 +135,8 @@ class Model:
 
     def unseen(self, word: str) -> np.ndarray | None:
         for k in ORDERS:
-            padded, (index, table) = word if k == 1 else f"^{word}$", self.grams[k]
-            known = [index[g] for g in {padded[i : i + k] for i in range(len(padded) - k + 1)} if g in index]
+            index, table = self.grams[k]
+            known = [index[g] for g in set(grams_of(word, k)) if g in index]
             if known:
                 return table[known].mean(axis=0)
         return None
@@ -123,14 +154,14 @@ class Scorer(dict):
         self.next = self.known + 1
 
     def __missing__(self, word: str) -> int:
-        got = self.model.unseen(word) if len(word) <= LONGEST else self.model.unseen(word[:LONGEST])
-        if got is None:
-            self[word] = self.known
-            return self.known
-        self.table[self.next] = got
-        self[word] = self.next
-        self.next += 1
-        return self[word]
+        got, at = self.model.unseen(word), self.known
+        if got is not None:
+            at = self.next
+            self.table[at] = got
+            self.next += 1
+        if len(word) <= LONGEST:  # longer ones hardly come again
+            self[word] = at
+        return at
 
     def scores(self, text: str) -> np.ndarray | None:
         words = WORD.findall(text.lower())

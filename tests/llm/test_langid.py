@@ -33,3 +33,15 @@ def test_backoff_and_edge_rows(spark):
     none = L.fit(df.limit(0))
     assert L.identify(df.limit(0), none).count() == 0
     assert {r.lang_pred for r in L.identify(df, none).collect()} == {"und"}
+
+
+def test_long_runs_are_fitted_and_scored_whole(spark):
+    run = lambda end: "xy" * 30 + end * 30  # noqa: E731 - the first 60 letters say nothing
+    rows = [(i, run(end), lang) for i, (end, lang) in enumerate([("abc", "en"), ("def", "fr")] * 40)] + [(500, run("def") + "xy", None), (501, run("abc") + "xy", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df)
+    assert not model.words and {"abc", "def"} <= set(model.grams[3][0])
+    got = {r.doc_id: r.lang_pred for r in L.identify(df, model).collect()}
+    assert got[500] == "fr" and got[501] == "en" and all(got[i] == lang for i, _, lang in rows[:80])
+    scorer = L.Scorer(model)
+    assert scorer.predict("xy" * 100_000 + "def" * 100_000)[0] == "fr" and not set(scorer) - set(model.words)
