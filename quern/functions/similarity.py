@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import json
 from collections import Counter
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -64,11 +65,6 @@ def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def dice_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else dice(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 @F.pandas_udf(T.DoubleType())
 def term_similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     from quern.schemas import CONTAINMENT
@@ -84,6 +80,12 @@ def merge_json_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(T.StringType())
+def merge_json_list_udf(a: pd.Series) -> pd.Series:
+    """All objects of a list merged in order; null and empty ones add nothing."""
+    return a.map(lambda x: json.dumps(reduce(merge_json, (json.loads(v) for v in x if v), None), ensure_ascii=False))
+
+
 @F.pandas_udf(T.StringType())
 def nfkc_udf(a: pd.Series) -> pd.Series:
     import unicodedata
@@ -91,8 +93,21 @@ def nfkc_udf(a: pd.Series) -> pd.Series:
     return a.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def bigrams(c):
+    return F.when(F.char_length(c) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+
+
+def dice_column(a, b):
+    """``dice`` as an expression: the smaller count of every bigram of ``a`` in both."""
+    x, y = bigrams(a), bigrams(b)
+    times = lambda v, g: F.size(F.filter(v, lambda h: h == g))
+    shared = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, g: s + F.least(times(x, g), times(y, g)))
+    n = F.size(x) + F.size(y)
+    return F.when(a == b, 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2 * shared / n)
+
+
 def character_similarity(a, b):
     """The larger of normalised edit similarity (built in) and the bigram Dice coefficient; 0 if either is empty."""
     n = F.greatest(F.char_length(a), F.char_length(b))
     empty = (F.char_length(a) == 0) | (F.char_length(b) == 0)
-    return F.when(empty, 0.0).otherwise(F.greatest(1 - F.levenshtein(a, b) / n, dice_udf(a, b)))
+    return F.when(empty, 0.0).otherwise(F.greatest(1 - F.levenshtein(a, b) / n, dice_column(a, b)))

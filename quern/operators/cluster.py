@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.functions import vectors as V
-from quern.operators.graph import _cut
+from quern.operators.graph import cut
 
 
 def community_count(n: int) -> int:
@@ -81,7 +81,7 @@ def spherical_kmeans(points: DataFrame, rounds: int = 12, count: int | None = No
     if not first:
         return points.select("id", F.lit(0).alias("community")).limit(0)
     dim = len(first[0]["v"])
-    p = _cut(p.where(F.size("v") == dim))
+    p = cut(p.where(F.size("v") == dim))
     k = count or community_count(p.count())
     centroids = [list(first[0]["v"])]
     while len(centroids) < k:
@@ -110,8 +110,11 @@ def cluster_count(n: int) -> int | None:
     return None if n < 10 else max(2, min(12, n // 15))
 
 
-def kmeans(points: DataFrame, seed: int = 42, rounds: int = 300) -> DataFrame:
-    """V4: k-means++ by the ML library: id, label. Its random numbers are its own, so labels differ from other programs'."""
+def kmeans(points: DataFrame, seed: int = 42, rounds: int = 300, starts: int = 10) -> DataFrame:
+    """V4: k-means++ by the ML library from several starts, the one of least inertia kept: id, label.
+
+    Its random numbers are its own, so labels differ from other programs'.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -119,7 +122,9 @@ def kmeans(points: DataFrame, seed: int = 42, rounds: int = 300) -> DataFrame:
     if k is None:
         return points.select("id", F.lit(0).alias("label"))
     df = points.select("id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=rounds, initSteps=10).fit(df)
+    df = cut(df)
+    fits = (KMeans(k=k, seed=seed + i, maxIter=rounds).fit(df) for i in range(starts))
+    model = min(fits, key=lambda m: m.summary.trainingCost)
     return model.transform(df).select("id", F.col("prediction").alias("label"))
 
 

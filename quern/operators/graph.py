@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern import schemas as S
 from quern.operators.normalize import active
+from quern.shared import drop_scratch, scratch
 
 
 def ends(edges: DataFrame) -> DataFrame:
@@ -27,33 +27,33 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends(edges).groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quern-graph-"))
-    return df.checkpoint()
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a written table in the shared folder."""
+    return scratch(df, "graph")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Weakly connected components over (from_id, to_id): id, component (its smallest id), for nodes with an edge to another.
 
     Alternating large-star and small-star rounds: each halves the distance to the roots; hubs are skewed join keys that
-    AQE splits, no neighbour list is ever collected. Lineage is cut by checkpoints.
+    AQE splits, no neighbour list is ever collected. One small table is written per round and the one before removed. The
+    rounds end when nothing changes; every round lowers the sum of the roots or ends.
     """
-    e = _cut(edges.where("from_id <> to_id").select(F.greatest("from_id", "to_id").alias("u"), F.least("from_id", "to_id").alias("v")).distinct())
+    e = cut(edges.where("from_id <> to_id").select(F.greatest("from_id", "to_id").alias("u"), F.least("from_id", "to_id").alias("v")).distinct())
     mark = None
-    for _ in range(rounds):
+    while True:
         sym = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = _cut(large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct())
+        nxt = cut(large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct())
+        drop_scratch(e)
+        e = nxt
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+            roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
         mark = now
-    raise RuntimeError("components did not settle")
 
 
 def weak_components(edges: DataFrame, least: int = 6, sample: int = 3) -> DataFrame:
@@ -82,24 +82,49 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return alone.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(total)).select("isolated", (F.col("k") + F.col("total") - F.col("inside")).alias("components"))
 
 
-def on_cycles(edges: DataFrame, types: Sequence[str] | None = None, rounds: int = 200) -> DataFrame:
-    """G2, existence: nodes left after peeling all nodes without an in-edge or an out-edge; empty if and only if there is no cycle.
+def on_cycles(edges: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
+    """G2, existence: the nodes on cycles and on paths between cycles; empty if and only if there is no cycle.
 
-    The result holds every node on a cycle (and those on paths between cycles). Each round drops at least one layer.
+    Each round peels nodes without an in-edge or an out-edge, then contracts inner nodes of chains (one edge in, one out, no
+    two neighbours at once), so that a long chain takes a number of rounds that grows with the logarithm of its length. The
+    rounds end when nothing changes. A contracted node belongs to the result exactly if both its neighbours do.
     """
     e = active(edges) if "status" in edges.columns else edges
     if types is not None:
         e = e.where(F.col("type").isin(*types))
-    e = _cut(e.select("from_id", "to_id").distinct())
-    n = e.count()
-    for _ in range(rounds):
-        kept = e.join(e.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi").join(e.select(F.col("from_id").alias("to_id")).distinct(), "to_id", "left_semi")
-        kept = _cut(kept.select("from_id", "to_id"))
-        m = kept.count()
-        if m == n:
-            return ends(kept).distinct()
-        e, n = kept, m
-    raise RuntimeError("peeling did not settle")
+    e = cut(e.select("from_id", "to_id").distinct())
+    n, bent, turn = e.count(), [], 0
+    while n:
+        kept = e
+        for _ in range(2):
+            kept = kept.join(kept.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi").join(kept.select(F.col("from_id").alias("to_id")).distinct(), "to_id", "left_semi")
+        kept = cut(kept.select("from_id", "to_id"))
+        drop_scratch(e)
+        into = kept.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("n_in"), F.min("from_id").alias("before")).where("n_in = 1")
+        out = kept.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("n_out"), F.min("to_id").alias("after")).where("n_out = 1")
+        rank = F.struct(F.xxhash64("id", F.lit(turn)), "id")
+        inner = into.join(out, "id").where("before <> id AND after <> id").select("id", "before", "after", rank.alias("rank"))
+        ranks = inner.select("id", "rank")
+        near = inner.join(ranks.toDF("before", "rank_before"), "before", "left").join(ranks.toDF("after", "rank_after"), "after", "left")
+        lone = (F.col("rank_before").isNull() | (F.col("rank") < F.col("rank_before"))) & (F.col("rank_after").isNull() | (F.col("rank") < F.col("rank_after")))
+        gone = cut(near.where(lone).select("id", "before", "after"))
+        m, k = kept.count(), gone.count()
+        if k:
+            bent.append(gone)
+            ids = gone.select("id")
+            rest = kept.join(ids.toDF("from_id"), "from_id", "left_anti").join(ids.toDF("to_id"), "to_id", "left_anti").select("from_id", "to_id")
+            e = cut(rest.union(gone.select("before", "after")).distinct())
+            drop_scratch(kept)
+        else:
+            e = kept
+        if not k and m == n:
+            break
+        n, turn = e.count() if k else m, turn + 1
+    left = ends(e).distinct()
+    for gone in reversed(bent):
+        back = gone.join(left.toDF("before"), "before", "left_semi").join(left.toDF("after"), "after", "left_semi").select("id")
+        left = cut(left.union(back))
+    return left
 
 
 def back_edge_cycles(edges: list[tuple[str, str]]) -> list[list[str]]:
@@ -162,7 +187,7 @@ def communities(nodes: DataFrame, edges: DataFrame, types: Sequence[str] = COMMU
 
 def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
     """Numbers 0.. in key order without one task for all rows: range partitions, counts per partition, offsets."""
-    s = _cut(df.orderBy(key).withColumn("part", F.spark_partition_id()))
+    s = cut(df.orderBy(key).withColumn("part", F.spark_partition_id()))
     w = Window.partitionBy("part").orderBy(key)
     sizes = s.groupBy("part").count()
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("base"))
@@ -186,10 +211,8 @@ def label_ids(nodes: DataFrame, members: DataFrame, n_nodes: int) -> DataFrame:
     limit = min(42, max(18, int(2.5 * n_nodes**0.5 + 0.5)))
     key = F.struct((F.col("layer") != "backbone").alias("a"), (-F.col("degree")).alias("b"), "id")
     first = nodes.join(members, "id").groupBy("community_id").agg(F.min(key).alias("k")).select(F.col("k.id").alias("id"))
-    top = nodes.select(key.alias("k")).orderBy("k").limit(limit + 1).select("k.id", "k").withColumn("chosen", F.lit(False))
-    both = first.withColumn("chosen", F.lit(True)).join(top.select("id", "k"), "id", "full_outer")
-    r = both.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last("chosen"), F.asc_nulls_last("k"))))
-    return r.where(F.coalesce("chosen", F.lit(False)) | (F.col("r") <= limit)).select("id")
+    rest = nodes.select(key.alias("k")).select("k.id", "k").join(first, "id", "left_anti")
+    return first.union(rest.orderBy("k").limit(max(0, limit - first.count())).select("id"))
 
 
 def prepare_graph(nodes: DataFrame, edges: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,45 +6,104 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from quern.functions import text as X
 
 
+#: How the rows of each table belong to a book: (id set, column, other columns that must hold a value).
+_BOOK, _NODE, _LESSON, _JOB = [("book", "book_id", {})], [("node", "node_id", {})], [("lesson", "lesson_run_id", {})], [("job", "job_id", {})]
+SCOPE = {
+    "source_artifacts": [("book", "book_id", {}), ("book", "source_id", {"book_id": None})], "textbook_outlines": _BOOK, "mineru_sources": _BOOK, "nodes": [("node", "id", {})], "node_terms": _NODE,
+    "edges": [("node", "from_id", {}), ("node", "to_id", {})], "domain_profiles": _NODE,
+    "mentions": [("book", "source_id", {}), ("node", "target_id", {"target_type": "node"}), ("edge", "target_id", {"target_type": "edge"}), ("profile", "target_id", {"target_type": "domain_profile"})],
+    "evidence": [("book", "source_id", {})], "evidence_links": [("evidence", "evidence_id", {})], "node_cards": _NODE, "node_bodies": _NODE, "unit_embeddings": _NODE,
+    "retrieval_candidates": [("node", "candidate_node_id", {})], "lesson_runs": _BOOK, "pipeline_jobs": _BOOK, "pipeline_job_stages": _JOB, "pipeline_job_events": _JOB, "pipeline_worker_states": _JOB,
+    "staging_nodes": _LESSON, "staging_edges": _LESSON, "staging_domain_profiles": _LESSON, "staging_mentions": _LESSON, "staging_evidence": _LESSON, "staging_node_cards": _LESSON,
+    "merge_runs": [("lesson", "selection", {})], "canonical_node_map": _LESSON,
+}
+#: Tables that no book owns; all their rows belong to every scope.
+GLOBAL_TABLES = ("datasets", "enrich_library", "enrich_books", "taxonomy_terms", "taxonomy_edges")
+
+
 class BookScope:
     """L1: the rows of every table that belong to a book, through lesson runs, the canonical map, nodes and edges.
 
-    The id sets are frames that every table is semi-joined with; nothing is collected.
+    The id sets are frames that every table is semi-joined with; nothing is collected. ``owned``: only nodes that the book
+    made or that a reviewer gave it; otherwise all nodes that its lessons are mapped to, as for exports.
     """
 
-    def __init__(self, runs: DataFrame, node_map: DataFrame, edges: DataFrame, book: str):
+    def __init__(self, runs: DataFrame, node_map: DataFrame, edges: DataFrame, book: str, owned: bool = True, profiles: DataFrame | None = None, evidence: DataFrame | None = None, jobs: DataFrame | None = None):
         self.book = book
         self.runs = runs.where(F.col("book") == book).select("lesson").distinct()
-        self.nodes = node_map.join(self.runs, "lesson", "left_semi").groupBy("node").agg(F.max("owned").alias("owned")).where("owned").select("node")
+        mine = node_map.join(self.runs, "lesson", "left_semi")
+        self.nodes = mine.groupBy("node").agg(F.max("owned").alias("owned")).where("owned").select("node") if owned else mine.select("node").distinct()
         n = self.nodes
         self.edges = edges.join(n, F.col("from_id") == n["node"], "left_semi").select("id").union(edges.join(n, F.col("to_id") == n["node"], "left_semi").select("id")).distinct()
+        self.sets = {"book": runs.sparkSession.range(1).select(F.lit(book)), "lesson": self.runs, "node": self.nodes, "edge": self.edges}
+        if profiles is not None:
+            self.sets["profile"] = profiles.join(n, profiles["node_id"] == n["node"], "left_semi").select("id").distinct()
+        if evidence is not None:
+            self.sets["evidence"] = evidence.where(F.col("source_id") == book).select("id").distinct()
+        if jobs is not None:
+            self.sets["job"] = jobs.where(F.col("book_id") == book).select("job_id").distinct()
 
     def rows(self, df: DataFrame, by: str, column: str) -> DataFrame:
-        """Rows of ``df`` whose ``column`` is the book itself (by='book') or in its lessons, nodes or edges."""
+        """Rows of ``df`` whose ``column`` is the book itself (by='book') or in one of the id sets."""
         if by == "book":
             return df.where(F.col(column) == self.book)
-        ids = {"lesson": self.runs, "node": self.nodes, "edge": self.edges}[by]
-        return df.join(ids.toDF(column), column, "left_semi")
+        return df.join(self.sets[by].toDF(column), column, "left_semi").select(*df.columns)
 
     def rest(self, df: DataFrame, by: str, column: str) -> DataFrame:
         """L2: the table without the book's rows."""
         if by == "book":
             return df.where(~F.col(column).eqNullSafe(self.book))
-        ids = {"lesson": self.runs, "node": self.nodes, "edge": self.edges}[by]
-        return df.join(ids.toDF(column), column, "left_anti")
-
-
-def delete_conflicts(runs: DataFrame, node_map: DataFrame, book: str) -> DataFrame:
-    """L2: why a book cannot go: nodes it only matched, and nodes that other books use. node, reason."""
+        return df.join(self.sets[by].toDF(column), column, "left_anti").select(*df.columns)
+
+    def table(self, name: str, df: DataFrame) -> DataFrame:
+        """The rows of one of the known tables that belong to the book: those that any of its conditions holds for."""
+        if name in GLOBAL_TABLES:
+            return df
+        out, found = df, F.lit(False)
+        for i, (by, column, needs) in enumerate(SCOPE[name]):
+            flag, key = f"_in{i}", f"_id{i}"
+            ids = self.sets[by].toDF(key).withColumn(flag, F.lit(True))
+            if isinstance(df.schema[column].dataType, ArrayType):
+                hit = df.select(column, F.explode(column).alias(key)).join(ids, key).select(F.col(column).alias(key), flag).distinct()
+                out = out.join(hit, F.col(column) == F.col(key), "left").drop(key)
+            else:
+                out = out.join(ids, F.col(column) == F.col(key), "left").drop(key)
+            ok = F.col(flag).isNotNull()
+            for c, v in needs.items():
+                ok = ok & F.col(c).eqNullSafe(F.lit(v))
+            found = found | ok
+        return out.where(found).select(*df.columns)
+
+
+def delete_conflicts(
+    runs: DataFrame, node_map: DataFrame, book: str, merges: DataFrame | None = None, mentions: DataFrame | None = None, links: DataFrame | None = None, targets: DataFrame | None = None
+) -> DataFrame:
+    """L2: why a book cannot go: node (the object in the way), reason.
+
+    Nodes it only matched, nodes that other books use, merge runs (merge_run, lesson) that hold its lessons and others,
+    mentions of other books (source_id, target_id) of its objects, evidence links of other books (source_id, owner_id) to them.
+    ``targets``: ids of the book's nodes, edges, profiles and the like; by default its nodes.
+    """
     own = runs.where(F.col("book") == book).select("lesson").distinct()
     mine = node_map.join(own, "lesson", "left_semi").groupBy("node").agg(F.max("owned").alias("owned"))
     others = node_map.join(own, "lesson", "left_anti").select("node").distinct()
-    matched = mine.where("not owned").select("node", F.lit("matched only").alias("reason"))
-    return matched.union(mine.where("owned").join(others, "node", "left_semi").select("node", F.lit("shared").alias("reason")))
+    out = mine.where("not owned").select("node", F.lit("matched only").alias("reason"))
+    out = out.union(mine.where("owned").join(others, "node", "left_semi").select("node", F.lit("shared").alias("reason")))
+    ids = (mine.where("owned").select(F.col("node").alias("id")) if targets is None else targets.select("id")).distinct()
+    if merges is not None:
+        held = merges.join(own, "lesson", "left_semi").select("merge_run").distinct()
+        mixed = merges.join(own, "lesson", "left_anti").join(held, "merge_run", "left_semi").select("merge_run").distinct()
+        out = out.union(mixed.select("merge_run", F.lit("mixed merge")))
+    for df, column, reason in ((mentions, "target_id", "external mention"), (links, "owner_id", "external evidence")):
+        if df is not None:
+            hit = df.where(F.col("source_id") != book).join(ids, F.col(column) == ids["id"], "left_semi")
+            out = out.union(hit.select(column, F.lit(reason)).distinct())
+    return out
 
 
 def may_start(jobs: DataFrame, requests: DataFrame, most: int = 4) -> DataFrame:
@@ -54,6 +113,11 @@ def may_start(jobs: DataFrame, requests: DataFrame, most: int = 4) -> DataFrame:
     return requests.join(busy.select("book"), "book", "left_anti").crossJoin(F.broadcast(n)).where(F.col("running") < most).select("book")
 
 
+def batch_units(chunks: DataFrame, lessons: DataFrame) -> DataFrame:
+    """The units of a book: its chunks if it has any, else its lessons."""
+    return chunks.unionByName(lessons.join(chunks.select("book").distinct(), "book", "left_anti"))
+
+
 def slots(units: DataFrame, order: Sequence[str], workers: int) -> DataFrame:
     """Worker slots: the unit's number modulo the number of workers, numbered inside each book."""
     n = F.row_number().over(Window.partitionBy("book").orderBy(*order)) - 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern import schemas as S
 from quern.functions import text as X
-from quern.functions.similarity import merge_json_udf
+from quern.functions.similarity import merge_json_list_udf
 
 
 def active(df: DataFrame) -> DataFrame:
@@ -15,11 +15,6 @@ def active(df: DataFrame) -> DataFrame:
     return df.where(~F.col("status").eqNullSafe("deprecated"))
 
 
-def _first(df: DataFrame, keys: list, order: list) -> DataFrame:
-    """Rank 1 is the row to keep. A window by key shuffles once; its partitions are groups of duplicates."""
-    return df.withColumn("duplicate_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-
-
 def edge_duplicates(edges: DataFrame) -> DataFrame:
     """Active edges by (from, to, type), the earliest kept; returns the rows to deprecate with the id that stays.
 
@@ -32,11 +27,17 @@ def edge_duplicates(edges: DataFrame) -> DataFrame:
 
 
 def undirected_edge_duplicates(edges: DataFrame) -> DataFrame:
-    """Duplicates by type, directionality and endpoints, those of undirected edges in either order."""
+    """Duplicates by type, directionality and endpoints, those of undirected edges in either order, with the id that stays.
+
+    The earliest edge is kept; an aggregate joined back as in N1, so no pair is a hot window.
+    """
     un = F.col("directionality") == "undirected"
     a = F.when(un, F.least("from_id", "to_id")).otherwise(F.col("from_id"))
     b = F.when(un, F.greatest("from_id", "to_id")).otherwise(F.col("to_id"))
-    return _first(edges.where("status <> 'deprecated'"), ["type", "directionality", a, b], ["created_at", "id"]).where("duplicate_rank > 1").select("id", "duplicate_rank")
+    keys = ["type", "directionality", "a", "b"]
+    e = edges.where("status <> 'deprecated'").select("type", "directionality", a.alias("a"), b.alias("b"), F.struct("created_at", "id").alias("key"))
+    j = e.join(e.groupBy(*keys).agg(F.min("key").alias("kept")), keys)
+    return j.where(F.col("key.id") != F.col("kept.id")).select("key.id", F.col("kept.id").alias("kept_id"))
 
 
 def self_loops(edges: DataFrame) -> DataFrame:
@@ -121,10 +122,64 @@ def profile_groups(profiles: DataFrame, evidence: DataFrame | None = None) -> Da
 
 
 def merge_profile_properties(profiles: DataFrame) -> DataFrame:
-    """N8, properties: JSON objects of a group merged in order, two at a time over a short sorted list."""
-    g = profiles.groupBy("node_id", "domain").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "properties"))).alias("rows"))
-    n = g.select("node_id", "domain", F.element_at("rows", 1)["properties"].alias("a"), F.try_element_at("rows", F.lit(2))["properties"].alias("b"))
-    return n.select("node_id", "domain", merge_json_udf("a", "b").alias("properties"))
+    """N8, properties: the JSON objects of all active rows of a (node, domain) merged in (created_at, id) order."""
+    rows = F.array_sort(F.collect_list(F.struct("created_at", "id", "properties")))
+    return active(profiles).groupBy("node_id", "domain").agg(merge_json_list_udf(rows["properties"]).alias("properties"))
+
+
+def merge_group_cards(cards: DataFrame, remap: DataFrame) -> DataFrame:
+    """N6, cards of a duplicate group as one of the canonical node, in (created_at, node_id) order.
+
+    The id, title and time are those of the canonical node's own card, else of the first; summaries and references are united,
+    sections with one id become one: the first filled title, united content and references. Sections without an id are
+    numbered. cards: node_id, id, title, summary, source_refs, sections, created_at; ``remap``: duplicate_id, canonical_id.
+    """
+    c = _canonical(cards, remap)
+    own = F.struct((F.col("node_id") != F.col("canonical_id")).alias("other"), "created_at", "node_id", "id", "title")
+    rows = F.array_sort(F.collect_list(F.struct("created_at", "node_id", "summary", "source_refs")))
+    g = c.groupBy("canonical_id").agg(F.min(own).alias("own"), rows.alias("rows"))
+    s = c.select("canonical_id", "created_at", "node_id", F.posexplode("sections").alias("pos", "s"))
+    s = s.select("canonical_id", F.struct("created_at", "node_id", "pos").alias("at"), "s.*").withColumn("id", F.trim(F.coalesce("id", F.lit(""))))
+    first = F.min("at").over(Window.partitionBy("canonical_id", "id"))
+    new = F.sum(((F.col("at") == first) | (F.col("id") == "")).cast("int")).over(Window.partitionBy("canonical_id").orderBy("at"))
+    s = s.withColumn("id", F.when(F.col("id") == "", F.concat(F.lit("section-"), new)).otherwise(F.col("id")))
+    parts = F.array_sort(F.collect_list(F.struct("at", "title", "section_type", "content", "source_refs")))
+    s = s.groupBy("canonical_id", "id").agg(F.min("at").alias("at"), parts.alias("p"))
+    filled = lambda c: F.coalesce(F.try_element_at(F.filter(F.transform("p", lambda r: r[c]), lambda x: x.isNotNull() & (F.trim(x) != "")), F.lit(1)), F.lit(""))
+    united = lambda c: X.unique_strings(F.flatten(F.transform("p", lambda r: r[c])))
+    one = F.struct("at", "id", filled("title").alias("title"), F.element_at("p", 1)["section_type"].alias("section_type"), united("content").alias("content"), united("source_refs").alias("source_refs"))
+    s = s.select("canonical_id", one.alias("s")).groupBy("canonical_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    s = s.select("canonical_id", F.transform("s", lambda r: r.dropFields("at")).alias("sections"))
+    text = F.array_join(X.unique_strings(F.transform("rows", lambda r: r["summary"])), "\n\n")
+    refs = X.unique_strings(F.flatten(F.transform("rows", lambda r: r["source_refs"])))
+    g = g.select(F.col("canonical_id"), F.col("own.id").alias("id"), F.col("own.title").alias("title"), text.alias("summary"), refs.alias("source_refs"), F.col("own.created_at").alias("created_at"))
+    return g.join(s, "canonical_id", "left").withColumnRenamed("canonical_id", "node_id")
+
+
+def _canonical(df: DataFrame, remap: DataFrame) -> DataFrame:
+    """``df`` (node_id, ...) with canonical_id, only of nodes in groups of duplicates."""
+    ids = remap.select(F.col("duplicate_id").alias("node_id"), "canonical_id").union(remap.select("canonical_id", "canonical_id")).distinct()
+    return df.join(ids, "node_id")
+
+
+#: The provenance of a merged body, the preferred one first.
+PROVENANCE = ("manual", "model_generation", "card_expansion", "imported_unit")
+
+
+def merge_group_bodies(bodies: DataFrame, remap: DataFrame) -> DataFrame:
+    """N6, bodies of a duplicate group as one of the canonical node, in (created_at, node_id) order, by preferred provenance.
+
+    bodies: node_id, content, media_refs, source_refs, generated_from, created_at.
+    """
+    c = _canonical(bodies, remap)
+    rank = F.coalesce(*[F.when(F.col("generated_from") == p, F.lit(i)) for i, p in enumerate(PROVENANCE)], F.lit(1))
+    own = F.min(F.struct((F.col("node_id") != F.col("canonical_id")).alias("other"), "created_at", "node_id"))
+    rows = F.array_sort(F.collect_list(F.struct("created_at", "node_id", "content", "media_refs", "source_refs")))
+    g = c.groupBy("canonical_id").agg(own.alias("own"), rows.alias("rows"), F.min(rank).alias("rank"))
+    united = lambda k: X.unique_strings(F.flatten(F.transform("rows", lambda r: r[k])))
+    text = F.array_join(X.unique_strings(F.transform("rows", lambda r: r["content"])), "\n\n")
+    kind = F.element_at(F.array(*[F.lit(p) for p in PROVENANCE]), F.col("rank") + 1)
+    return g.select(F.col("canonical_id").alias("node_id"), text.alias("content"), united("media_refs").alias("media_refs"), united("source_refs").alias("source_refs"), kind.alias("generated_from"), F.col("own.created_at").alias("created_at"))
 
 
 def card_sections(cards: DataFrame) -> DataFrame:

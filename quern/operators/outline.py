@@ -6,14 +6,17 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern import schemas as S
 from quern.functions import text as X
 from quern.functions.similarity import dice
+from quern.shared import drop_scratch, scratch
 
 #: The patterns of headings, contents lines, section marks, lesson titles and front matter.
 NUMBER = "[0-9一二三四五六七八九十百千万]+"
@@ -27,6 +30,7 @@ APPENDIX, BOUNDARY = r"^附\s*录", "复习|练习|小结|总结"
 SECTION_DOTS, SECTION_MARK = r"\d+(?:\.\d+)+", rf"第{NUMBER}(?:章|节|课|单元)"
 LEADING_NUMBER = rf"^\s*(?:\d+(?:\s*[.．]\s*\d+)+|第\s*{NUMBER}\s*(?:章|节|课|单元)|[一二三四五六七八九十百千万]+[、.])\s*"
 NUMBER_ONLY = rf"^(?:\d+(?:\.\d+)+|第{NUMBER}(?:章|节|课|单元)|[一二三四五六七八九十百千万]+[、.])$"
+LESSON_START = r'LESSON_START\s+id="([^"]+)"'
 CONTENTS_HEADING, CONTENTS_LINE, APPENDIX_HEADING = r"^(目\s*录|contents)$", r"^(#{1,6}\s*)?目\s*录\s*$", r"^(附\s*录|appendix)"
 LESSON_TITLE, LESSON_NUMBER = rf"^第\s*{NUMBER}\s*[节课]\s+", r"^[0-9]+\.[0-9]+(?:\.[0-9]+)?\s+\S"
 TITLE_CAPITALS, TITLE_KEEP = r"[A-Z]{2,}(?:\s+[A-Z]{2,})*", "[一-龥]"
@@ -45,19 +49,19 @@ def headings(markdown: DataFrame) -> DataFrame:
     return m.select("book_id", "line", F.char_length(F.regexp_extract("text", r"^(#{1,6})\s", 1)).alias("level"), F.trim(F.regexp_extract("text", r"^#{1,6}\s+(.+)", 1)).alias("text"))
 
 
-def flatten(items: DataFrame, max_depth: int = 16) -> DataFrame:
+def flatten(items: DataFrame) -> DataFrame:
     """Breadth-first order of a forest with parent pointers (book_id, id, parent_id, pos): depth and place.
 
-    One join per level; the loop ends with the deepest level, at most ``max_depth``.
+    One join and one written table per level, as many as the forest is deep. Items that no root reaches are left out.
     """
-    level = items.where("parent_id IS NULL").withColumn("depth", F.lit(0)).withColumn("path", F.array("pos"))
-    out, rest = level, items.where("parent_id IS NOT NULL")
-    for depth in range(1, max_depth):
+    level = scratch(items.where("parent_id IS NULL").withColumn("depth", F.lit(0)).withColumn("path", F.array("pos")), "outline")
+    out, rest, depth = level, items.where("parent_id IS NOT NULL"), 0
+    while not level.isEmpty():
+        depth += 1
         up = level.select("book_id", F.col("id").alias("parent_id"), F.col("path").alias("up"))
         level = rest.join(up, ["book_id", "parent_id"]).withColumn("depth", F.lit(depth)).withColumn("path", F.concat("up", F.array("pos"))).select(*out.columns)
+        level = scratch(level, "outline")
         out = out.unionByName(level)
-        if not level.take(1):
-            break
     place = F.row_number().over(Window.partitionBy("book_id").orderBy("depth", "path"))
     return out.withColumn("place", place)
 
@@ -82,16 +86,21 @@ def span(start: str, end: str) -> Column:
     return F.coalesce(F.col(end) - F.col(start) + 1, F.lit(0))
 
 
-def ancestors(items: DataFrame, max_depth: int = 16) -> DataFrame:
-    """Ancestor closure (book_id, id, ancestor, distance) of parent pointers: one join per level."""
-    up = items.where("parent_id IS NOT NULL").select("book_id", "id", F.col("parent_id").alias("ancestor"))
-    step, out = up.withColumn("distance", F.lit(1)), up.withColumn("distance", F.lit(1))
-    nxt = up.select("book_id", F.col("id").alias("ancestor"), F.col("ancestor").alias("next"))
-    for d in range(2, max_depth):
-        step = step.join(nxt, ["book_id", "ancestor"]).select("book_id", "id", F.col("next").alias("ancestor"), F.lit(d).alias("distance"))
-        if not step.take(1):
+def ancestors(items: DataFrame) -> DataFrame:
+    """Ancestor closure (book_id, id, ancestor, distance) of parent pointers.
+
+    Each round joins the closure with itself and so doubles its reach, until no pair is new: a depth of n takes log n rounds.
+    """
+    out = scratch(items.where("parent_id IS NOT NULL").select("book_id", "id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance")), "outline")
+    n = out.count()
+    while n:
+        onward = out.toDF("book_id", "ancestor", "next", "more")
+        more = out.join(onward, ["book_id", "ancestor"]).select("book_id", "id", F.col("next").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
+        both = scratch(out.union(more).groupBy("book_id", "id", "ancestor").agg(F.min("distance").alias("distance")), "outline")
+        drop_scratch(out)
+        out, was, n = both, n, both.count()
+        if n == was:
             break
-        out = out.unionByName(step)
     return out
 
 
@@ -220,19 +229,26 @@ def plan_book(leaves: list[Leaf], heads: list[tuple[int, str]], least: int = S.C
 
 
 def chunk_plan(leaves: DataFrame, heads: DataFrame, **limits: int) -> DataFrame:
-    """D9 for all books: book_id, start, end, role, title, how, sources. A book is one group; books are bounded by a document."""
-    packed = heads.groupBy("book_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("line", "text")))).alias("heads"))
-    j = leaves.join(packed, "book_id", "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["md_start", "id"])
-        found = json.loads(pdf["heads"].iloc[0]) if pdf["heads"].iloc[0] else []
-        rows = [Leaf(r.id, r.kind, r.title or "", int(r.md_start), int(r.md_end), role_of(r.title or ""), r.topic or "", r.chapter or "") for r in pdf.itertuples()]
-        chunks = plan_book(rows, [(h["line"], h["text"]) for h in found], **limits)
-        return pd.DataFrame([(pdf["book_id"].iloc[0], c.start, c.end, c.role, c.title, c.how, ",".join(c.sources)) for c in chunks], columns=["book_id", "start", "end", "role", "title", "how", "sources"])
+    """D9 for all books: book_id, start, end, role, title, how, sources. A book's leaves and headings are one row each."""
+    packed = heads.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("heads"))
+    leaf = F.struct(F.col("md_start").cast("long").alias("start"), "id", F.col("md_end").cast("long").alias("end"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("kind", "title", "topic", "chapter")))
+    books = leaves.groupBy("book_id").agg(F.array_sort(F.collect_list(leaf)).alias("leaves")).join(packed, "book_id", "left")
+    names = ["book_id", "start", "end", "role", "title", "how", "sources"]
+    kinds = [pa.int64()] * 3 + [pa.string()] * 4
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            rows = []
+            for book, held, found in zip(*(p.column(c).to_pylist() for c in ("book_id", "leaves", "heads")), strict=True):
+                own = [Leaf(x["id"], x["kind"], x["title"], x["start"], x["end"], role_of(x["title"]), x["topic"], x["chapter"]) for x in held]
+                chunks = plan_book(own, [(h["line"], h["text"]) for h in found or []], **limits)
+                rows += [(book, c.start, c.end, c.role, c.title, c.how, ",".join(c.sources)) for c in chunks]
+            cols = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
+    # Few bytes but much work per book: a fixed number of partitions, which AQE does not merge.
     n = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return j.repartition(n, "book_id").groupBy("book_id").applyInPandas(run, "book_id long, start long, end long, role string, title string, how string, sources string")
+    return books.repartition(n, "book_id").mapInArrow(run, "book_id long, start long, end long, role string, title string, how string, sources string")
 
 
 def chunk_sizes(chunks: DataFrame) -> DataFrame:
@@ -334,15 +350,18 @@ def without_number(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(s, LEADING_NUMBER, ""))
 
 
+@lru_cache(1 << 16)
 def _norm(s: str) -> str:
     return re.sub(r"\s+", "", re.sub(HEADING_NOISE, " ", re.sub(IMAGE, " ", s.lower())))
 
 
-def _tokens(s: str) -> set[str]:
+@lru_cache(1 << 16)
+def _tokens(s: str) -> frozenset[str]:
     v = re.sub(r"\s+", "", re.sub("[．。]", ".", s))
-    return {*re.findall(SECTION_DOTS, v), *re.findall(SECTION_MARK, v)}
+    return frozenset((*re.findall(SECTION_DOTS, v), *re.findall(SECTION_MARK, v)))
 
 
+@lru_cache(1 << 16)
 def _bare(s: str) -> str:
     return _norm(re.sub(LEADING_NUMBER, "", re.sub(r"^\s*#{1,6}\s*", "", s)))
 
@@ -423,9 +442,48 @@ def align(items: list[dict], heads: list[dict], accept: float = 0.55) -> list[tu
     return out[::-1]
 
 
+def align_between(items: list[dict], heads: list[dict]) -> list[tuple[str, int, float, str]]:
+    """Items with a ``fixed`` line keep it where such lines rise; the runs between them are aligned to the headings between."""
+    out: list[tuple[str, int, float, str]] = []
+    run, low = [], 0
+
+    def settle(high: float) -> None:
+        out.extend(align(run, [h for h in heads if low < h["line"] < high]))
+        run.clear()
+
+    for i in items:
+        line = i.get("fixed")
+        if line is None or line <= low:
+            run.append(i)
+            continue
+        settle(line)
+        out.append((i["id"], line, 1.0, i["fixed_by"]))
+        low = line
+    settle(float("inf"))
+    return out
+
+
+def marks(markdown: DataFrame) -> DataFrame:
+    """book_id, id, line of the start marks in a markdown text; of repeated marks the last one counts."""
+    m = lines(markdown).select("book_id", "line", F.regexp_extract("text", LESSON_START, 1).alias("id")).where("id <> ''")
+    return m.groupBy("book_id", "id").agg(F.max("line").alias("line"))
+
+
+def fixed_lines(items: DataFrame, markdown: DataFrame) -> DataFrame:
+    """``items`` with fixed and fixed_by: the line of an existing range (md_start and md_end), else of a start mark."""
+    own = F.when(F.col("md_start").isNotNull() & F.col("md_end").isNotNull(), F.col("md_start").cast("long"))
+    j = items.join(marks(markdown).withColumnRenamed("line", "_mark"), ["book_id", "id"], "left")
+    by = F.when(own.isNotNull(), "existing").when(F.col("_mark").isNotNull(), "marker")
+    return j.withColumn("fixed_by", by).withColumn("fixed", F.coalesce(own, F.col("_mark").cast("long"))).drop("_mark")
+
+
 def align_outlines(items: DataFrame, heads: DataFrame) -> DataFrame:
-    """book_id, id, line, confidence, match_type, status (matched, warning, unmatched): one group per book."""
-    a = items.groupBy("book_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("pos", "id", "title", "label", "level")))).alias("items"))
+    """book_id, id, line, confidence, match_type, status (matched, warning, unmatched): one row per book inside.
+
+    ``items`` may hold ``fixed`` lines (see ``fixed_lines``); those of an item without one come from the alignment.
+    """
+    known = [c for c in ("fixed", "fixed_by") if c in items.columns]
+    a = items.groupBy("book_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("pos", "id", "title", "label", "level", *known)))).alias("items"))
     b = heads.groupBy("book_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("line", "text", "level")))).alias("heads"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -433,7 +491,7 @@ def align_outlines(items: DataFrame, heads: DataFrame) -> DataFrame:
             rows = []
             for book, x, y in zip(p["book_id"], p["items"], p["heads"], strict=True):
                 its = json.loads(x)
-                found = {r[0]: r[1:] for r in align(its, json.loads(y) if y else [])}
+                found = {r[0]: r[1:] for r in align_between(its, json.loads(y) if y else [])}
                 for i in its:
                     line, conf, kind = found.get(i["id"], (None, 0.0, None))
                     rows.append((book, i["id"], line, conf, kind, "unmatched" if line is None else "matched" if conf >= 0.85 else "warning"))
@@ -454,10 +512,12 @@ def parent_starts(items: DataFrame) -> DataFrame:
 def hierarchical_ends(items: DataFrame, last: DataFrame) -> DataFrame:
     """end = start of the next item in order that is no descendant, less one; else the book's last line (book_id, last).
 
-    Items in depth-first order: the next non-descendant is the next one of the same or a smaller depth.
+    Items in depth-first order: the next non-descendant is the next one of the same or a smaller depth. One window over a
+    book, with one expression for each depth that occurs.
     """
+    deepest = items.agg(F.max("depth")).first()[0] or 0
     w = Window.partitionBy("book_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.coalesce(*[F.when(F.col("depth") == k, F.first(F.when((F.col("depth") <= k) & F.col("md_start").isNotNull(), F.col("md_start")), ignorenulls=True).over(w)) for k in range(1, 9)])
+    nxt = F.coalesce(*[F.when(F.col("depth") == k, F.first(F.when((F.col("depth") <= k) & F.col("md_start").isNotNull(), F.col("md_start")), ignorenulls=True).over(w)) for k in range(deepest + 1)])
     j = items.withColumn("nxt", nxt).join(last, "book_id", "left")
     return j.withColumn("md_end", F.greatest("md_start", F.coalesce(F.col("nxt") - 1, "last"))).drop("nxt", "last")
 
@@ -498,61 +558,50 @@ def preview(items: DataFrame) -> DataFrame:
 
 def chunk_previews(chunks: DataFrame, markdown: DataFrame, chars: int = 360) -> DataFrame:
     """The first characters of a chunk's lines, images as a mark, white space collapsed."""
-    j = chunks.join(markdown, "book_id")
-    cut = F.array_join(F.slice(F.split("md", "\n"), F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int")), "\n")
-    cut = F.trim(F.regexp_replace(F.regexp_replace(cut, IMAGE, "[image]"), r"\s+", " "))
-    return j.select(*chunks.columns, F.substring(cut, 1, chars).alias("preview"))
-
-
-def evidence_hints(text: str, most: int = 20) -> list[dict]:
-    """Tables (two or more pipe rows, the first 12), equations (block or inline) and images of a markdown text."""
-    out: list[dict] = []
-    rows, block = [], None
-
-    def close() -> None:
-        nonlocal rows
-        if len(rows) > 1:
-            out.append({"modality": "table", "locator": f"markdown-table-{len(out) + 1}", "excerpt": "\n".join(rows[:12])})
-        rows = []
-
-    for n, line in enumerate((x.strip() for x in text.split("\n")), 1):
-        at = f"line:{n}"
-        if block is not None and line:
-            block.append(line)
-            if line.startswith("$$"):
-                out.append({"modality": "equation", "locator": at, "excerpt": "\n".join(block)})
-                block = None
-        elif line.startswith("$$"):
-            close()
-            if len(line) > 2 and line.endswith("$$"):
-                out.append({"modality": "equation", "locator": at, "excerpt": line})
-            else:
-                block = [line]
-        elif re.search(r"(?<!\$)\$[^$]+\$(?!\$)", line):
-            close()
-            out.append({"modality": "equation", "locator": at, "excerpt": line})
-        elif re.search(IMAGE, line):
-            close()
-            out.append({"modality": "image", "locator": at, "excerpt": line})
-        elif len(line) and line[0] == "|" and line[-1] == "|":
-            rows.append(line)
-        else:
-            close()
-    close()
-    if block:
-        out.append({"modality": "equation", "locator": "markdown-equation-unclosed", "excerpt": "\n".join(block)})
-    return out[:most]
+    held = chunks.withColumn("_chunk", F.struct(*chunks.columns))
+    part = held.select("book_id", "_chunk").join(lines(markdown), "book_id").where("line BETWEEN _chunk.start AND _chunk.end")
+    cut = F.array_join(F.array_sort(F.collect_list(F.struct("line", "text")))["text"], "\n")
+    got = part.groupBy("_chunk").agg(cut.alias("cut")).select("_chunk.*", F.trim(F.regexp_replace(F.regexp_replace("cut", IMAGE, "[image]"), r"\s+", " ")).alias("cut"))
+    return got.select(*chunks.columns, F.substring("cut", 1, chars).alias("preview"))
 
 
-def hints(markdown: DataFrame) -> DataFrame:
-    """D25 for all books: book_id, position, modality, locator, excerpt."""
+#: Rows of a table and hints of a text that are shown.
+TABLE_ROWS, HINTS = 12, 20
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = [(b, i, h["modality"], h["locator"], h["excerpt"]) for b, t in zip(p["book_id"], p["md"], strict=True) for i, h in enumerate(evidence_hints(t or ""))]
-            yield pd.DataFrame(rows, columns=["book_id", "position", "modality", "locator", "excerpt"])
 
-    return markdown.select("book_id", "md").mapInPandas(run, "book_id long, position int, modality string, locator string, excerpt string")
+def hints(markdown: DataFrame, most: int = HINTS) -> DataFrame:
+    """Tables (two or more pipe rows), equations (block or inline) and images: book_id, position, modality, locator, excerpt.
+
+    Lines are classified, and windows over a book find the blocks: a line that starts with two dollar signs opens a block or
+    ends the open one, so whether a line lies inside follows from the number of such lines since the last that is closed in
+    itself, which always ends outside. Runs of table rows are neighbours of one difference between line and row number.
+    A hint stands where it ends; the position counts them, and the first ``most`` of a book stay.
+    """
+    book = Window.partitionBy("book_id").orderBy("line")
+    since = Window.partitionBy("book_id", "lap").orderBy("line")
+    t = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    x = lines(markdown).select("book_id", "line", t.alias("text"))
+    fence = F.startswith("text", F.lit("$$"))
+    closed = fence & (F.char_length("text") > 2) & F.endswith("text", F.lit("$$"))
+    x = x.withColumn("fence", fence).withColumn("closed", closed).withColumn("lap", F.sum(F.col("closed").cast("int")).over(book))
+    x = x.withColumn("open", F.sum((F.col("fence") & ~F.col("closed")).cast("int")).over(since) % 2 == 1)
+    x = x.withColumn("inside", F.coalesce(F.lag("open").over(book), F.lit(False)))
+    x = x.withColumn("block", F.sum((F.col("open") & ~F.col("inside")).cast("int")).over(book))
+    free, inline, image = ~F.col("inside"), F.col("text").rlike(r"(?<!\$)\$[^$]+\$(?!\$)"), F.col("text").rlike(IMAGE)
+    kind = F.when(F.col("closed") | (inline & ~F.col("fence")), "equation").when(F.col("fence"), None).when(image, "image")
+    single = x.where(free).select("book_id", "line", F.lit(1).alias("after"), kind.alias("modality"), F.concat(F.lit("line:"), "line").alias("locator"), F.col("text").alias("excerpt")).where("modality IS NOT NULL")
+    whole = x.where((F.col("inside") & (F.col("text") != "")) | (F.col("open") & free)).groupBy("book_id", "block").agg(
+        F.max("line").alias("line"), F.max(F.col("inside") & F.col("fence")).alias("ended"), F.array_join(F.array_sort(F.collect_list(F.struct("line", "text")))["text"], "\n").alias("excerpt")
+    )
+    place = F.when(F.col("ended"), F.concat(F.lit("line:"), "line")).otherwise("markdown-equation-unclosed")
+    whole = whole.select("book_id", F.when(F.col("ended"), F.col("line")).otherwise(1 << 30).alias("line"), F.lit(2).alias("after"), F.lit("equation").alias("modality"), place.alias("locator"), "excerpt")
+    row = free & ~F.col("fence") & ~inline & ~image & F.startswith("text", F.lit("|")) & F.endswith("text", F.lit("|"))
+    rows = x.where(row).withColumn("run", F.col("line") - F.row_number().over(book))
+    shown = F.array_join(F.slice(F.array_sort(F.collect_list(F.struct("line", "text")))["text"], 1, TABLE_ROWS), "\n")
+    table = rows.groupBy("book_id", "run").agg(F.max("line").alias("line"), F.count("*").alias("n"), shown.alias("excerpt")).where("n > 1")
+    table = table.select("book_id", (F.col("line") + 1).alias("line"), F.lit(0).alias("after"), F.lit("table").alias("modality"), F.lit(None).cast("string").alias("locator"), "excerpt")
+    every = single.unionByName(whole).unionByName(table).withColumn("position", F.row_number().over(Window.partitionBy("book_id").orderBy("line", "after")) - 1).where(F.col("position") < most)
+    return every.select("book_id", "position", "modality", F.coalesce("locator", F.concat(F.lit("markdown-table-"), F.col("position") + 1)).alias("locator"), "excerpt")
 
 
 def retrieval_queries(markdown: DataFrame, titles: DataFrame, limit: int = 6) -> DataFrame:

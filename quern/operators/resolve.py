@@ -5,11 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from quern import schemas as S
 from quern.functions import text as X
@@ -30,7 +34,7 @@ def match_score(lexical: Column, semantic: Column, embedding: Column, subkind_ma
     same = (lexical >= 0.98) | (semantic >= 1)
     w = F.when(~subkind_match & ~same, w * S.SUBKIND_PENALTY).otherwise(w)
     w = F.when(same, F.greatest(w, F.lit(S.EXACT_FLOOR))).otherwise(w)
-    w = F.when((embedding >= threshold) & (lexical >= 0.65), F.greatest(w, F.lit(S.EMBEDDING_FLOOR))).otherwise(w)
+    w = F.when((embedding >= threshold) & (lexical >= S.EMBEDDING_LEXICAL), F.greatest(w, F.lit(S.EMBEDDING_FLOOR))).otherwise(w)
     return F.least(w, F.lit(1.0))
 
 
@@ -46,24 +50,93 @@ def score_pairs(staged: DataFrame, canonical: DataFrame, pairs: DataFrame) -> Da
     return j.select("raw_id", "id", "lexical", "semantic", "embedding", match_score(F.col("lexical"), F.col("semantic"), F.col("embedding"), ok).alias("score"))
 
 
-def candidate_pairs(rows: DataFrame, near: int = 8) -> DataFrame:
-    """Links between rows (row, kind, terms, semantic_key) that can reach the match threshold, as edges to a shared key.
+#: Characters of a term gram, and vectors of a tile side.
+GRAM, TILE = 5, 4096
 
-    Under the default weights a pair reaches 0.74 only through an equal term or a ratio of 0.98, an equal semantic key,
-    or a strong embedding with alike terms. Equal terms and keys share a key; nearly equal terms share their first or last
-    ``near`` characters. Keys are nodes of the link graph, so a popular term costs one edge per row and never a pair.
+
+def near_terms(terms: DataFrame) -> DataFrame:
+    """Pairs (kind, a, b) of distinct long terms (kind, t) that can have a ratio of 0.98.
+
+    A ratio of 0.98 leaves at most 2 % of both lengths unmatched, so at most d = 4n / 98 insertions and deletions separate a
+    term of n characters from the other. They spoil at most ``GRAM`` * d of its distinct grams; the first ``GRAM`` * d + 1 of
+    both terms in one common order (here by hash) therefore share one. No pair is lost; terms under 25 characters must be equal.
+    """
+    n = F.char_length("t")
+    t = terms.select("kind", "t", (4 * n / 98).cast("int").alias("d")).where("d >= 1")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.substring("t", i, F.lit(GRAM))))
+    first = F.slice(F.array_sort(F.transform(grams, lambda g: F.struct(F.xxhash64(g), g))), F.lit(1), GRAM * F.col("d") + 1)
+    t = t.select("kind", "t", "d", F.explode(first).alias("g"))
+    a, b = (t.select("kind", "g", F.col("t").alias(c), F.col("d").alias(f"d_{c}")) for c in "ab")
+    near = "a < b AND abs(char_length(a) - char_length(b)) <= least(d_a, d_b) AND levenshtein(a, b) <= least(d_a, d_b)"
+    return a.join(b, ["kind", "g"]).where(near).select("kind", "a", "b").distinct()
+
+
+def _tile_roots(sig: list, staged: np.ndarray, side: np.ndarray, terms: list, x: np.ndarray, threshold: float, block: int = 1024) -> dict[int, int]:
+    """Union-find roots of rows of one tile that have a partner with an embedding floor; at least one of a pair is staged."""
+    root = list(range(len(sig)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    own = bool((side == 2).all())
+    left, right = (np.arange(len(sig)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    touched = set()
+    for i in range(0, len(left), block):
+        for j in range(i if own else 0, len(right), block):
+            a, b = left[i : i + block], right[j : j + block]
+            u, v = np.nonzero(unit[a] @ unit[b].T >= threshold - 1e-9)
+            for p, q in zip(a[u].tolist(), b[v].tolist(), strict=True):
+                if p == q or not (staged[p] or staged[q]) or find(p) == find(q):
+                    continue
+                if best_ratio(terms[p], terms[q], S.CONTAINMENT) >= S.EMBEDDING_LEXICAL or best_ratio(terms[q], terms[p], S.CONTAINMENT) >= S.EMBEDDING_LEXICAL:
+                    root[find(p)] = find(q)
+                    touched |= {p, q}
+    return {p: find(p) for p in touched}
+
+
+def embedding_links(rows: DataFrame, threshold: float = S.EMBEDDING_THRESHOLD, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) of signatures that an embedding floor can join: all pairs within a kind, in tiles of two groups of rows.
+
+    rows: sig, kind, staged, terms, embedding. A tile compares blocks of unit vectors by matrix products, checks the lexical
+    condition of what passes, and returns one edge per joined row, never its pairs. The products are quadratic in the
+    distinct rows of a kind; the work is dealt in tiles that fit a task.
     """
-    t = rows.select("row", "kind", F.explode("terms").alias("t"))
-    keys = [
-        t.select("row", F.concat_ws("|", F.lit("t"), "kind", "t").alias("key")),
-        t.where(F.char_length("t") > 2 * near).select("row", F.concat_ws("|", F.lit("p"), "kind", F.substring("t", 1, near))),
-        t.where(F.char_length("t") > 2 * near).select("row", F.concat_ws("|", F.lit("q"), "kind", F.substring("t", -near, near))),
-        rows.where("semantic_key <> ''").select("row", F.concat_ws("|", F.lit("s"), "kind", "semantic_key")),
-    ]
-    out = keys[0]
-    for k in keys[1:]:
-        out = out.union(k)
-    return out.distinct()
+    fine = (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & (V.norm("embedding") > 0)
+    e = rows.where(F.coalesce(fine, F.lit(False))).withColumn("dim", F.size("embedding"))
+    sizes = e.groupBy("kind", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("groups"))
+    e = e.join(sizes, ["kind", "dim"]).withColumn("g", F.pmod(F.xxhash64("sig"), F.col("groups")).cast("int"))
+    e = e.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    side = F.when(F.col("g") == F.col("h"), 2).when(F.col("g") > F.col("h"), 1).otherwise(0)
+    e = e.select("kind", "dim", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), "sig", "staged", side.alias("side"), "terms", "embedding")
+
+    def run(t: pa.Table) -> pa.Table:
+        x = np.array(t.column("embedding").to_pylist(), float)
+        sig = t.column("sig").to_pylist()
+        got = _tile_roots(sig, t.column("staged").to_numpy(), t.column("side").to_numpy(), t.column("terms").to_pylist(), x, threshold)
+        return pa.table({"a": pa.array([sig[p] for p in got], pa.string()), "b": pa.array([sig[q] for q in got.values()], pa.string())})
+
+    return e.groupBy("kind", "dim", "i", "j").applyInArrow(run, "a string, b string")
+
+
+def link_components(rows: DataFrame) -> DataFrame:
+    """(sig, component): signatures that a score of the review threshold or more can join, directly or through others.
+
+    Under the default weights a pair reaches 0.74 only through an equal term or a ratio of 0.98, an equal semantic key, or
+    an embedding floor: 0.45 * 0.98 + 0.20 stays below. Equal terms and keys meet in a node of the link graph, so a popular
+    one costs an edge per signature and never a pair. rows: sig, kind, staged, terms, semantic_key, embedding, one per sig.
+    """
+    t = rows.select("sig", "kind", F.explode("terms").alias("t"))
+    node = lambda mark, *c: F.concat_ws("|", F.lit(mark), *c)
+    edges = t.select(node("r", "sig").alias("from_id"), node("t", "kind", "t").alias("to_id"))
+    edges = edges.union(rows.where("semantic_key <> ''").select(node("r", "sig"), node("s", "kind", "semantic_key")))
+    edges = edges.union(near_terms(t.select("kind", "t").distinct()).select(node("t", "kind", "a"), node("t", "kind", "b")))
+    edges = edges.union(embedding_links(rows).select(node("r", "a"), node("r", "b")))
+    comp = G.components(edges).where(F.startswith("id", F.lit("r|"))).select(F.substring("id", 3, 1 << 20).alias("sig"), "component")
+    return rows.select("sig").join(comp, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
 
 
 def _cosine(a, b) -> float:
@@ -73,8 +146,8 @@ def _cosine(a, b) -> float:
     return sum(x * y for x, y in zip(a, b, strict=True)) / (na * nb) if na and nb else 0.0
 
 
-def _score(s: dict, c: dict, threshold: float) -> float:
-    lexical = best_ratio(s["terms"], c["terms"], S.CONTAINMENT)
+def _score(s: dict, c: dict, threshold: float, lexical: Callable = best_ratio) -> float:
+    lexical = lexical(s["terms"], c["terms"], S.CONTAINMENT)
     semantic = 1.0 if s["semantic_key"] and s["semantic_key"] == c["semantic_key"] else 0.0
     embedding = _cosine(s["embedding"], c["embedding"])
     w = S.LEXICAL_WEIGHT * lexical + S.SEMANTIC_WEIGHT * semantic + S.EMBEDDING_WEIGHT * embedding
@@ -83,7 +156,7 @@ def _score(s: dict, c: dict, threshold: float) -> float:
         w *= S.SUBKIND_PENALTY
     if same:
         w = max(w, S.EXACT_FLOOR)
-    if embedding >= threshold and lexical >= 0.65:
+    if embedding >= threshold and lexical >= S.EMBEDDING_LEXICAL:
         w = max(w, S.EMBEDDING_FLOOR)
     return min(w, 1.0)
 
@@ -91,57 +164,49 @@ def _score(s: dict, c: dict, threshold: float) -> float:
 def fold(pdf: pd.DataFrame, match: float = S.MATCH_THRESHOLD, review: float = S.REVIEW_THRESHOLD, threshold: float = S.EMBEDDING_THRESHOLD) -> pd.DataFrame:
     """M8 on one group: staged rows in (created_at, row) order; the first best candidate wins; unmatched rows become candidates.
 
-    Equal rows repeat their outcome through a table of exact terms, so a large group of one name stays linear.
+    A score under ``review`` is reported as zero: rows that cannot reach it are never compared. Equal rows repeat their
+    outcome, and only candidates that came since are scored, so a large group of one name stays linear.
     """
     rows = pdf.to_dict("records")
     for r in rows:
-        r["terms"] = list(r["terms"]) if r["terms"] is not None else []
+        r["terms"] = tuple(r["terms"]) if r["terms"] is not None else ()
+    lexical = lru_cache(1 << 18)(best_ratio)
     held = sorted((r for r in rows if not r["staged"]), key=lambda r: r["row"])
-    by_term: dict[str, int] = {}
-    for i, c in enumerate(held):
-        for t in c["terms"]:
-            by_term.setdefault(t, i)
     out, seen = [], {}
     for s in sorted((r for r in rows if r["staged"]), key=lambda r: (r["created_at"], r["row"])):
-        sig = (tuple(s["terms"]), s["semantic_key"], s["code"], None if s["embedding"] is None else tuple(s["embedding"]))
-        got = seen.get(sig)
-        if got is None or got[2] != len(held):
-            best, at = 0.0, -1
-            start = got[2] if got else 0
-            if got:
-                best, at = got[0], got[1]
-            for i in range(start, len(held)):
-                score = _score(s, held[i], threshold)
-                if score > best:
-                    best, at = score, i
-        else:
-            best, at = got[0], got[1]
+        sig = (s["terms"], s["semantic_key"], s["code"], None if s["embedding"] is None else tuple(s["embedding"]))
+        best, at, start = seen.get(sig, (0.0, -1, 0))
+        for i in range(start, len(held)):
+            score = _score(s, held[i], threshold, lexical)
+            if score > best:
+                best, at = score, i
         seen[sig] = (best, at, len(held))
         if at >= 0 and best >= match:
             out.append((s["row"], held[at]["canonical_id"], "matched", best))
             continue
         held.append({**s, "canonical_id": s["new_id"]})
-        out.append((s["row"], s["new_id"], "review" if at >= 0 and best >= review else "created", best))
+        out.append((s["row"], s["new_id"], "review" if best >= review else "created", best if best >= review else 0.0))
     return pd.DataFrame(out, columns=["raw_id", "canonical_id", "resolution", "score"])
 
 
 def resolve(staged: DataFrame, canonical: DataFrame) -> DataFrame:
     """M8: raw_id, canonical_id, resolution (matched, created, review), score, for all staged rows.
 
-    Rows that can influence each other are linked through shared keys (``candidate_pairs``); the ordered fold then runs
-    inside each connected component, not inside a whole kind.
+    The result is that of one ordered fold over each kind, but only rows that can reach the review threshold together meet:
+    they are linked through terms, keys and embeddings (``link_components``), and the fold runs inside each component. A
+    component is one task, so names that chain many rows together, as copies of one node, cost rows times candidates there.
     """
     cols = ["kind", "subkind", "name", "aliases", "semantic_key", "embedding"]
     s = staged.select(F.col("raw_id").alias("row"), F.lit(True).alias("staged"), "created_at", *cols, X.canonical_node_id("kind", "name", "subkind").alias("new_id"), F.lit("").alias("canonical_id"))
     c = canonical.select(F.col("id").alias("row"), F.lit(False).alias("staged"), F.lit("").alias("created_at"), *cols, F.lit("").alias("new_id"), F.col("id").alias("canonical_id"))
-    rows = s.unionByName(c).withColumn("row_key", F.concat_ws("|", F.when(F.col("staged"), "1").otherwise("0"), "row"))
-    rows = rows.withColumn("terms", terms_of()).withColumn("semantic_key", F.coalesce("semantic_key", F.lit(""))).withColumn("code", X.subkind_code("subkind"))
-    keys = candidate_pairs(rows.select(F.col("row_key").alias("row"), "kind", "terms", "semantic_key"))
-    comp = G.components(keys.select(F.concat(F.lit("r|"), "row").alias("from_id"), F.concat(F.lit("k|"), "key").alias("to_id")))
-    rows = rows.withColumn("id", F.concat(F.lit("r|"), "row_key")).join(comp, "id", "left").withColumn("component", F.concat_ws("|", F.coalesce("component", "id"), "kind"))
+    rows = s.unionByName(c).withColumn("terms", terms_of()).withColumn("semantic_key", F.coalesce("semantic_key", F.lit(""))).withColumn("code", X.subkind_code("subkind"))
+    rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    rows = rows.withColumn("sig", F.sha2(F.to_json(F.struct("kind", "terms", "semantic_key", "code", "embedding")), 256))
+    one = rows.groupBy("sig").agg(F.max("staged").alias("staged"), *(F.first(k).alias(k) for k in ("kind", "terms", "semantic_key", "embedding")))
+    comp = link_components(G.cut(one))
     schema = "raw_id string, canonical_id string, resolution string, score double"
     fields = ["row", "staged", "created_at", "semantic_key", "embedding", "new_id", "canonical_id", "terms", "code"]
-    return rows.select("component", *fields).groupBy("component").applyInPandas(lambda pdf: fold(pdf), schema)
+    return rows.join(comp, "sig").select("component", *fields).groupBy("component").applyInPandas(lambda pdf: fold(pdf), schema)
 
 
 def existing_only(staged: DataFrame, canonical: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -222,11 +287,132 @@ def normalize_staged_nodes(raw: DataFrame) -> DataFrame:
         .when(F.col("kind").isin("entity", "event", "resource"), F.array(F.lit("factual"))).otherwise(F.array(F.lit("conceptual")))
     )
     n = n.withColumn("learning_mode", F.when(F.size(modes) > 0, F.array_distinct(modes)).otherwise(implied))
-    n = n.withColumn("scope", F.when(F.col("scope").isin(*S.SCOPES), F.col("scope")).otherwise("domain-specific"))
+    n = n.withColumn("scope", F.when(F.trim("scope") != "", F.trim("scope")).otherwise("domain-specific"))
     keep = n.groupBy("raw_node_id").agg(F.min("pos").alias("pos"))
     return n.join(keep, ["raw_node_id", "pos"], "left_semi")
 
 
+def _pick(df: DataFrame, *names: str, default: str | float | None = None) -> Column:
+    """The first filled one of the columns that the table has (empty text and the number zero are not), else ``default``."""
+    blank = lambda n: F.coalesce(F.col(n), F.lit(0)) == 0 if isinstance(df.schema[n].dataType, NumericType) else F.coalesce(F.col(n), F.lit("")) == ""
+    filled = [F.when(~blank(n), F.col(n).cast("string")) for n in names if n in df.columns]
+    return F.coalesce(*filled, F.lit(default).cast("string"))
+
+
+def _text(df: DataFrame, *names: str, default: str = "") -> Column:
+    return F.trim(_pick(df, *names, default=default))
+
+
+def _strings(df: DataFrame, name: str) -> Column:
+    return X.unique_strings(name) if name in df.columns else F.array().cast("array<string>")
+
+
+def _members(df: DataFrame, name: str, known: Sequence[str]) -> Column:
+    """The distinct values of an enumeration."""
+    return F.filter(_strings(df, name), lambda v: v.isin(*known))
+
+
+def _first_rows(df: DataFrame, key: str) -> DataFrame:
+    """The first row (by ``pos``) of each key."""
+    return df.join(df.groupBy(key).agg(F.min("pos").alias("pos")), [key, "pos"], "left_semi")
+
+
+#: Words for edges without a direction.
+UNDIRECTED = ("undirected", "bidirectional", "bi-directional", "two_way", "two-way", "mutual")
+
+
+def normalize_staged_edges(raw: DataFrame) -> DataFrame:
+    """Staged edges: synonyms (id, raw_edge_id; type, edge_type; from, to), direction words, defaults, first row of an id.
+
+    ``error`` names what makes a row invalid (null: valid); callers refuse a lesson that has one. Columns that the table
+    lacks count as empty.
+    """
+    both = F.when(F.lower(_text(raw, "directionality")).isin(*UNDIRECTED), "undirected").otherwise("directed")
+    e = raw.select(
+        "pos", _text(raw, "id", "raw_edge_id").alias("raw_edge_id"), _text(raw, "type", "edge_type").alias("type"), _text(raw, "from", "from_raw_node_id").alias("from_raw_node_id"),
+        _text(raw, "to", "to_raw_node_id").alias("to_raw_node_id"), both.alias("directionality"), _pick(raw, "confidence", default=0.8).cast("double").alias("confidence"),
+        _strings(raw, "source_refs").alias("source_refs"), _pick(raw, "status", default="draft").alias("status"), _text(raw, "notes").alias("notes"),
+    )
+    bad = F.when(F.col("raw_edge_id") == "", "missing id").when(~F.col("type").isin(*S.EDGE_TYPES), "unknown type")
+    return _first_rows(e.withColumn("error", bad), "raw_edge_id")
+
+
+def normalize_staged_profiles(raw: DataFrame) -> DataFrame:
+    """Staged domain profiles: synonyms, known stages and roles only; ``error`` for missing ids and unknown domains."""
+    p = raw.select(
+        _text(raw, "id", "raw_profile_id").alias("raw_profile_id"), _text(raw, "node_id", "raw_node_id").alias("raw_node_id"), _text(raw, "domain").alias("domain"),
+        _members(raw, "school_stages", S.SCHOOL_STAGES).alias("school_stages"), _members(raw, "curriculum_roles", S.CURRICULUM_ROLES).alias("curriculum_roles"),
+        _strings(raw, "source_refs").alias("source_refs"), _pick(raw, "status", default="draft").alias("status"), _text(raw, "notes").alias("notes"),
+    )
+    bad = F.when((F.col("raw_profile_id") == "") | (F.col("raw_node_id") == ""), "missing id").when(~F.col("domain").isin(*S.DOMAINS), "unknown domain")
+    return p.withColumn("error", bad)
+
+
+def normalize_staged_mentions(raw: DataFrame, book: str, anchor: str) -> DataFrame:
+    """Staged mentions with their lesson's book and anchor as defaults; the first row of an id."""
+    m = raw.select(
+        "pos", _text(raw, "id", "raw_mention_id").alias("raw_mention_id"), _pick(raw, "source_type", default="textbook").alias("source_type"), _pick(raw, "source_id", default=book).alias("source_id"),
+        _pick(raw, "anchor_ref", default=anchor).alias("anchor_ref"), _pick(raw, "target_type", default="node").alias("target_type"), _text(raw, "target_id", "target_raw_id").alias("target_raw_id"),
+        _pick(raw, "role", default="mentions").alias("role"), _strings(raw, "source_refs").alias("source_refs"), _pick(raw, "confidence", default=0.8).cast("double").alias("confidence"),
+    )
+    return _first_rows(m.withColumn("error", F.when(F.col("raw_mention_id") == "", "missing id")), "raw_mention_id")
+
+
+def normalize_staged_evidence(raw: DataFrame, book: str, anchor: str) -> DataFrame:
+    """Staged evidence with defaults; claims are trimmed, empty ones dropped, repeated ones kept."""
+    claims = F.filter(F.transform("normalized_claims", lambda c: F.trim(c)), lambda c: c.isNotNull() & (c != "")) if "normalized_claims" in raw.columns else F.array().cast("array<string>")
+    page = lambda c: (F.col(c) if c in raw.columns else F.lit(None)).cast("int").alias(c)
+    e = raw.select(
+        _text(raw, "id", "raw_evidence_id").alias("raw_evidence_id"), _pick(raw, "source_type", default="textbook").alias("source_type"), _pick(raw, "source_id", default=book).alias("source_id"),
+        _pick(raw, "anchor_ref", default=anchor).alias("anchor_ref"), _pick(raw, "source_path", default="").alias("source_path"), page("page_start"), page("page_end"), _text(raw, "excerpt").alias("excerpt"),
+        _text(raw, "locator").alias("locator"), _pick(raw, "modality", default="text").alias("modality"), _pick(raw, "extraction_method", default="ocr").alias("extraction_method"),
+        F.coalesce(claims, F.array().cast("array<string>")).alias("normalized_claims"),
+    )
+    return e.withColumn("error", F.when(F.col("raw_evidence_id") == "", "missing id"))
+
+
+def normalize_staged_cards(raw: DataFrame) -> DataFrame:
+    """Staged node cards: sections with default id and type, trimmed content and references; ``error`` for missing ids.
+
+    sections: array of id, title, section_type, content, source_refs.
+    """
+    filled = lambda c, d: F.when(F.coalesce(c, F.lit("")) != "", F.trim(c)).otherwise(d)
+    lines = lambda a: F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t.isNotNull() & (t != ""))
+    one = lambda s: F.struct(
+        filled(s["id"], F.lit("section")).alias("id"), F.trim(F.coalesce(s["title"], F.lit(""))).alias("title"), filled(s["section_type"], F.lit("other")).alias("section_type"),
+        lines(s["content"]).alias("content"), X.unique_strings(s["source_refs"]).alias("source_refs"),
+    )
+    c = raw.select(
+        _text(raw, "id", "raw_card_id").alias("raw_card_id"), _text(raw, "node_id", "raw_node_id").alias("raw_node_id"), _text(raw, "title").alias("title"), _text(raw, "summary").alias("summary"),
+        _strings(raw, "source_refs").alias("source_refs"), F.transform(F.filter("sections", lambda s: s.isNotNull()), one).alias("sections"), _pick(raw, "status", default="draft").alias("status"),
+    )
+    return c.withColumn("error", F.when((F.col("raw_card_id") == "") | (F.col("raw_node_id") == ""), "missing id"))
+
+
+def merge_cards(cards: DataFrame, nodes: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cards of mapped nodes with references of canonical evidence, evidence links of the cards and of their sections).
+
+    cards: raw_card_id, raw_node_id, title, summary, source_refs, sections; ``nodes`` and ``evidence``: raw_id, canonical_id.
+    Links: owner_type, owner_id, evidence_id, ordinal; a section's owner is card:section, section-<number> without an id.
+    Unknown references stay, as in M13.
+    """
+    held = cards.join(nodes.select(F.col("raw_id").alias("raw_node_id"), F.col("canonical_id").alias("node_id")), "raw_node_id")
+    held = remap_refs(held, "raw_card_id", "source_refs", evidence)
+    s = held.select("raw_card_id", F.posexplode("sections").alias("n", "s"))
+    s = s.withColumn("section_id", F.when(F.coalesce(F.trim("s.id"), F.lit("")) != "", F.trim("s.id")).otherwise(F.concat(F.lit("section-"), "n")))
+    s = remap_refs(s.select("raw_card_id", "n", "s", "section_id", F.struct("raw_card_id", "n").alias("k"), F.col("s.source_refs").alias("refs")), "k", "refs", evidence)
+    fixed = s.groupBy("raw_card_id").agg(F.array_sort(F.collect_list(F.struct("n", F.col("s").withField("source_refs", F.col("refs")).alias("s"))))["s"].alias("sections"))
+    out = held.drop("sections").join(fixed, "raw_card_id", "left")
+    links = evidence_links(held.select(F.lit("node_card").alias("owner_type"), F.col("raw_card_id").alias("owner_id"), F.col("source_refs").alias("refs")))
+    return out, links.unionByName(evidence_links(s.select(F.lit("node_card_section").alias("owner_type"), F.concat_ws(":", "raw_card_id", "section_id").alias("owner_id"), "refs")))
+
+
+def evidence_links(owners: DataFrame) -> DataFrame:
+    """Evidence links with ordinals from 1 of (owner_type, owner_id, refs)."""
+    e = owners.select("owner_type", "owner_id", F.posexplode("refs").alias("pos", "evidence_id"))
+    return e.select("owner_type", "owner_id", "evidence_id", (F.col("pos") + 1).alias("ordinal"))
+
+
 def repair_mentions(nodes: DataFrame, refs: DataFrame, mentions: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes with references filled where none was valid, new mentions for unmentioned nodes with references; confidence 0.8).
 

@@ -16,8 +16,8 @@ def n1(spark, d):
     return N.edge_duplicates(Views(spark, d).edges)
 
 
-@register("n2_undirected_duplicates", f"""{ctes('edges')}, r AS (SELECT id, row_number() OVER (PARTITION BY type, directionality, CASE directionality WHEN 'undirected' THEN least(from_id, to_id) ELSE from_id END,
-CASE directionality WHEN 'undirected' THEN greatest(from_id, to_id) ELSE to_id END ORDER BY created_at, id)::INT AS duplicate_rank FROM edges WHERE status <> 'deprecated') SELECT * FROM r WHERE duplicate_rank > 1""")
+@register("n2_undirected_duplicates", f"""{ctes('edges')}, r AS (SELECT id, first_value(id) OVER (PARTITION BY type, directionality, CASE directionality WHEN 'undirected' THEN least(from_id, to_id) ELSE from_id END,
+CASE directionality WHEN 'undirected' THEN greatest(from_id, to_id) ELSE to_id END ORDER BY created_at, id) AS kept_id FROM edges WHERE status <> 'deprecated') SELECT id, kept_id FROM r WHERE id <> kept_id""")
 def n2(spark, d):
     return N.undirected_edge_duplicates(Views(spark, d).edges)
 
@@ -75,6 +75,51 @@ def n8(spark, d):
     return g.select("node_id", "domain", "canonical_profile_id", "primary_id", F.size("duplicate_ids").alias("n_duplicates"), F.array_join("school_stages", ",").alias("school_stages"), F.array_join("source_refs", ",").alias("source_refs"), "created_at")
 
 
+@register("n8_profile_properties", """WITH p AS (SELECT 'part:' || o_custkey % 50 AS node_id, o_orderpriority AS domain, strftime(o_orderdate, '%Y-%m-%d') || 'prof:' || o_orderkey AS k, o_orderkey AS n, o_orderstatus AS s FROM orders),
+t AS (SELECT node_id, domain, string_agg(s, ',' ORDER BY k) AS tags FROM (SELECT node_id, domain, s, min(k) AS k FROM p GROUP BY ALL) GROUP BY ALL)
+SELECT node_id, domain, arg_min(n, k)::VARCHAR AS n, max(tags) AS tags FROM p JOIN t USING (node_id, domain) GROUP BY ALL""")
+def n8b(spark, d):
+    o = Views(spark, d).table("orders").selectExpr(
+        "concat('part:', o_custkey % 50) AS node_id", "o_orderpriority AS domain", "date_format(o_orderdate, 'yyyy-MM-dd') AS created_at", "concat('prof:', o_orderkey) AS id", "'active' AS status",
+        """concat('{"n": ', o_orderkey, ', "none": "", "tags": ["', o_orderstatus, '"]}') AS properties""",
+    )
+    g = N.merge_profile_properties(o)
+    return g.select("node_id", "domain", F.get_json_object("properties", "$.n").alias("n"), F.regexp_replace(F.get_json_object("properties", "$.tags"), r'[\[\]" ]', "").alias("tags"))
+
+
+_GROUPS = "g AS (SELECT p_partkey AS k, 'part:' || p_partkey AS node_id, 'part:' || (p_partkey - p_partkey % 4) AS canonical_id, lpad(p_partkey::VARCHAR, 10, '0') AS created_at, p_name, p_brand, p_size FROM part)"
+
+
+def _groups(v: Views):
+    """Four neighbouring parts to a group of duplicates; the first is canonical."""
+    p = v.table("part").selectExpr("p_partkey AS k", "concat('part:', p_partkey) AS node_id", "lpad(p_partkey, 10, '0') AS created_at", "p_name", "p_brand", "p_size")
+    remap = p.where("k % 4 <> 0").selectExpr("node_id AS duplicate_id", "concat('part:', k - k % 4) AS canonical_id")
+    return p, remap
+
+
+@register("n6_merged_cards", f"""WITH {_GROUPS}, c AS (SELECT * FROM g WHERE k % 3 <> 0), s AS (SELECT canonical_id, 's' || (i + k % 2) AS id, created_at, i, p_brand, p_name FROM c, LATERAL (SELECT unnest([0, 1]) AS i)),
+x AS (SELECT canonical_id, id, p_brand, min(created_at || i) AS o FROM s GROUP BY ALL), y AS (SELECT canonical_id, id, string_agg(p_brand, '+' ORDER BY o) AS content, min(o) AS o FROM x GROUP BY ALL),
+z AS (SELECT canonical_id, string_agg(id || ':' || content, '|' ORDER BY o) AS sections FROM y GROUP BY 1), m AS (SELECT canonical_id, p_brand, min(created_at) AS o FROM c GROUP BY ALL)
+SELECT canonical_id AS node_id, 'card:' || arg_min(k, ((node_id <> canonical_id)::INT || created_at)) AS id, sections, (SELECT string_agg(p_brand, chr(10) || chr(10) ORDER BY o) FROM m WHERE m.canonical_id = c.canonical_id) AS summary FROM c JOIN z USING (canonical_id) GROUP BY ALL""")
+def n6b(spark, d):
+    p, remap = _groups(Views(spark, d))
+    cards = p.where("k % 3 <> 0").selectExpr(
+        "node_id", "concat('card:', k) AS id", "p_name AS title", "p_brand AS summary", "array(concat('doc:', k)) AS source_refs", "created_at",
+        "transform(array(0, 1), i -> named_struct('id', concat('s', i + k % 2), 'title', p_name, 'section_type', 'other', 'content', array(p_brand), 'source_refs', array(concat('doc:', k)))) AS sections",
+    )
+    shown = F.array_join(F.transform("sections", lambda s: F.concat(s["id"], F.lit(":"), F.array_join(s["content"], "+"))), "|")
+    return N.merge_group_cards(cards, remap).select("node_id", "id", shown.alias("sections"), "summary")
+
+
+@register("n6_merged_bodies", f"""WITH {_GROUPS}, b AS (SELECT *, ['imported_unit', 'card_expansion', 'manual', 'other'][(p_size % 4 + 1)::INT] AS kind FROM g WHERE k % 5 <> 0), m AS (SELECT canonical_id, p_brand, min(created_at) AS o FROM b GROUP BY ALL)
+SELECT canonical_id AS node_id, CASE min(CASE kind WHEN 'manual' THEN 0 WHEN 'other' THEN 1 WHEN 'card_expansion' THEN 2 ELSE 3 END) WHEN 0 THEN 'manual' WHEN 1 THEN 'model_generation' WHEN 2 THEN 'card_expansion' ELSE 'imported_unit' END AS generated_from,
+string_agg('img:' || k, ',' ORDER BY created_at) AS media, (SELECT string_agg(p_brand, chr(10) || chr(10) ORDER BY o) FROM m WHERE m.canonical_id = b.canonical_id) AS content FROM b GROUP BY canonical_id""")
+def n6c(spark, d):
+    p, remap = _groups(Views(spark, d))
+    bodies = p.where("k % 5 <> 0").selectExpr("node_id", "p_brand AS content", "array(concat('img:', k)) AS media_refs", "array(concat('doc:', k)) AS source_refs", "element_at(array('imported_unit', 'card_expansion', 'manual', 'other'), cast(p_size % 4 + 1 AS int)) AS generated_from", "created_at")
+    return N.merge_group_bodies(bodies, remap).select("node_id", "generated_from", F.array_join("media_refs", ",").alias("media"), "content")
+
+
 @register("n9_card_sections", f"""{ctes('cards')} SELECT c.node_id, i::INT AS i, CASE WHEN s.id = '' THEN 'section-' || i ELSE s.id END AS id, s.title, CASE WHEN section_type = '' THEN 'other' ELSE section_type END AS section_type,
 array_to_string(list_filter(list_transform(content, lambda x: trim(x)), lambda x: x <> ''), '|') AS content FROM cards c JOIN sections s ON c.node_id = s.node_id""")
 def n9(spark, d):

@@ -105,16 +105,50 @@ def l2(spark, d):
     return L.BookScope(*_scope(v), v.edges, "BUILDING").rest(v.nodes, "node", "id").select("id")
 
 
+@register("l1_export_scope", f"""{ctes('nodes', 'edges', 'mentions', 'profiles', 'evidence')}, {_RUNS}, mr AS (SELECT o_orderkey // 8 AS run, list(DISTINCT o_custkey) AS sel FROM orders GROUP BY 1), e AS (SELECT id FROM edges WHERE from_id IN (SELECT node FROM mine))
+SELECT 'mentions' AS t, count(*) AS n FROM mentions WHERE target_id IN (SELECT node FROM mine) UNION ALL SELECT 'edges', count(*) FROM e UNION ALL SELECT 'profiles', count(*) FROM profiles WHERE node_id IN (SELECT node FROM mine)
+UNION ALL SELECT 'merge_runs', count(*) FROM mr WHERE len(list_filter(sel, lambda x: x IN (SELECT lesson FROM runs WHERE book = 'BUILDING'))) > 0 UNION ALL SELECT 'terms', count(*) FROM part""".replace("len(list_filter(sel, lambda x: x IN (SELECT lesson FROM runs WHERE book = 'BUILDING'))) > 0", "run IN (SELECT o_orderkey // 8 FROM orders WHERE o_custkey IN (SELECT lesson FROM runs WHERE book = 'BUILDING'))"))
+def l1b(spark, d):
+    v = Views(spark, d)
+    s = L.BookScope(*_scope(v), v.edges, "BUILDING", owned=False, profiles=v.profiles, evidence=v.evidence)
+    merges = v.table("orders").groupBy((F.col("o_orderkey") / 8).cast("long").alias("run")).agg(F.collect_set("o_custkey").alias("selection"))
+    parts = [
+        ("mentions", s.table("mentions", v.mentions.withColumn("target_type", F.lit("node")))), ("edges", s.table("edges", v.edges)), ("profiles", s.table("domain_profiles", v.profiles)),
+        ("merge_runs", s.table("merge_runs", merges)), ("terms", s.table("taxonomy_terms", v.table("part"))),
+    ]
+    out = None
+    for name, df in parts:
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("t"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@register("l2_all_conflicts", f"""{ctes('mentions')}, {_RUNS}, own AS (SELECT lesson FROM runs WHERE book = 'BUILDING'), mr AS (SELECT DISTINCT 'run:' || o_orderkey // 8 AS run, o_custkey AS lesson FROM orders), tg AS (SELECT node AS id FROM mine WHERE owned)
+SELECT DISTINCT run AS node, 'mixed merge' AS reason FROM mr WHERE lesson NOT IN (SELECT lesson FROM own) AND run IN (SELECT run FROM mr WHERE lesson IN (SELECT lesson FROM own))
+UNION ALL SELECT DISTINCT target_id, 'external mention' FROM mentions WHERE source_id <> 'BUILDING' AND target_id IN (SELECT id FROM tg) UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'external evidence' FROM lineitem WHERE l_linestatus <> 'BUILDING' AND 'part:' || l_partkey IN (SELECT id FROM tg)""")
+def l2c(spark, d):
+    v = Views(spark, d)
+    merges = v.table("orders").select(F.concat(F.lit("run:"), (F.col("o_orderkey") / 8).cast("long")).alias("merge_run"), F.col("o_custkey").alias("lesson")).distinct()
+    links = v.table("lineitem").selectExpr("l_linestatus AS source_id", "concat('part:', l_partkey) AS owner_id")
+    return L.delete_conflicts(*_scope(v), "BUILDING", merges, v.mentions, links).where("reason NOT IN ('matched only', 'shared')")
+
+
 @register("l2_delete_conflicts", f"WITH {_RUNS}, o AS (SELECT DISTINCT node FROM nm WHERE lesson NOT IN (SELECT lesson FROM runs WHERE book = 'BUILDING')) SELECT node, 'matched only' AS reason FROM mine WHERE NOT owned UNION ALL SELECT node, 'shared' FROM mine WHERE owned AND node IN (SELECT node FROM o)")
 def l2b(spark, d):
     return L.delete_conflicts(*_scope(Views(spark, d)), "BUILDING")
 
 
-@register("l3_may_start", "SELECT c_name AS book FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+@register("l3_may_start", """WITH j AS (SELECT q AS queue, n_name AS book FROM nation, (SELECT unnest([0, 1]) AS q) WHERE n_nationkey % 6 = q AND n_nationkey < 6 * (3 + q))
+SELECT q::INT AS queue, n_name AS book FROM nation, (SELECT unnest([0, 1]) AS q) WHERE (q, n_name) NOT IN (SELECT queue, book FROM j) AND q IN (SELECT queue FROM j GROUP BY 1 HAVING count(*) < 4)""")
 def l3(spark, d):
-    t = Views(spark, d).table
-    jobs = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).selectExpr("c_name AS book", "if(o_orderstatus = 'P', 'running', 'done') AS status")
-    return L.may_start(jobs, t("customer").selectExpr("c_name AS book"), 1 << 60)
+    """Two queues with three and four running jobs: only the first lets requests in."""
+    n = Views(spark, d).table("nation")
+    asked, out = n.selectExpr("n_name AS book"), None
+    for queue, running in ((0, 3), (1, 4)):
+        jobs = n.selectExpr("n_name AS book", f"if(n_nationkey % 6 = {queue} AND n_nationkey < {6 * running}, 'running', 'done') AS status")
+        may = L.may_start(jobs, asked).select(F.lit(queue).alias("queue"), "book")
+        out = may if out is None else out.union(may)
+    return out
 
 
 @register("l5_slots", "SELECT conv_id AS book, turn, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) % 3)::INT AS slot FROM conversations")

@@ -22,7 +22,7 @@ BODY_ORIGINS = ("manual", "card_expansion", "imported_unit", "model_generation")
 
 MATCH_THRESHOLD, EMBEDDING_THRESHOLD, REVIEW_THRESHOLD = 0.88, 0.92, 0.74
 LEXICAL_WEIGHT, SEMANTIC_WEIGHT, EMBEDDING_WEIGHT = 0.45, 0.35, 0.20
-SUBKIND_PENALTY, EXACT_FLOOR, EMBEDDING_FLOOR, CONTAINMENT = 0.85, 0.94, 0.90, 0.96
+SUBKIND_PENALTY, EXACT_FLOOR, EMBEDDING_FLOOR, EMBEDDING_LEXICAL, CONTAINMENT = 0.85, 0.94, 0.90, 0.65, 0.96
 RRF_K = 60
 SCORE_EXACT, SCORE_PREFIX, SCORE_DEFINITION = 100.0, 85.0, 70.0
 VECTOR_BASE, VECTOR_SCALE, VECTOR_LEAST = 40.0, 50.0, 0.5

@@ -67,7 +67,7 @@ class Views:
     @cached_property
     def evidence(self) -> DataFrame:
         return self.table("documents").selectExpr(
-            "concat('doc:', doc_id) AS id", "source AS source_id", "lang AS anchor_ref", "text AS excerpt", "if(doc_id % 10 = 0, 'image', 'text') AS modality",
+            "concat('doc:', doc_id) AS id", "source AS source_id", "concat(lang, ':', doc_id div 10) AS anchor_ref", "text AS excerpt", "if(doc_id % 10 = 0, 'image', 'text') AS modality",
             """concat('{"image_relevance":{"keep":', if(doc_id % 20 = 0, 'false', 'true'),
                if(doc_id % 30 = 10, ',"review_status":"pending"', if(doc_id % 70 = 0, ',"review_status":"rejected"', '')), if(doc_id % 50 = 30, ',"relevance":"uncertain"', ''), '}',
                if(doc_id % 29 = 0, ',"synthetic":true', ''), if(doc_id % 31 = 0, ',"quality_excluded":true', ''), '}') AS properties""",
@@ -78,7 +78,7 @@ class Views:
     def mentions(self) -> DataFrame:
         p = self.n_parts
         return self.table("labels").join(self.table("documents").select("doc_id", "source", "lang"), "doc_id").selectExpr(
-            "concat('ment:', doc_id) AS id", "source AS source_id", "lang AS anchor_ref", f"concat('part:', doc_id % {p}) AS target_id",
+            "concat('ment:', doc_id) AS id", "source AS source_id", "concat(lang, ':', doc_id div 10) AS anchor_ref", f"concat('part:', doc_id % {p}) AS target_id",
             "if(quality = 1, 'core', 'support') AS role", "array(concat('doc:', doc_id)) AS source_refs",
         )
 
@@ -142,11 +142,11 @@ SQL = {
     "links": """links AS (SELECT 'part:' || a AS from_id, 'part:' || b AS to_id FROM (
   SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem) JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b
   WHERE x.p_brand = y.p_brand)""",
-    "evidence": """evidence AS (SELECT 'doc:' || doc_id AS id, source AS source_id, lang AS anchor_ref, text AS excerpt, CASE WHEN doc_id % 10 = 0 THEN 'image' ELSE 'text' END AS modality,
+    "evidence": """evidence AS (SELECT 'doc:' || doc_id AS id, source AS source_id, lang || ':' || doc_id // 10 AS anchor_ref, text AS excerpt, CASE WHEN doc_id % 10 = 0 THEN 'image' ELSE 'text' END AS modality,
   CASE WHEN doc_id % 20 = 0 THEN false ELSE true END AS keep, CASE WHEN doc_id % 30 = 10 THEN 'pending' WHEN doc_id % 70 = 0 THEN 'rejected' END AS review,
   doc_id % 50 = 30 AS uncertain, doc_id % 29 = 0 AS synthetic, doc_id % 31 = 0 AS quality_excluded,
   (doc_id % 50 + 1)::INT AS page_start, (CASE WHEN doc_id % 3 <> 0 THEN doc_id % 50 + 1 + doc_id % 4 END)::INT AS page_end, doc_id AS key FROM documents)""",
-    "mentions": """mentions AS (SELECT 'ment:' || l.doc_id AS id, source AS source_id, lang AS anchor_ref, 'part:' || l.doc_id % p AS target_id,
+    "mentions": """mentions AS (SELECT 'ment:' || l.doc_id AS id, source AS source_id, lang || ':' || l.doc_id // 10 AS anchor_ref, 'part:' || l.doc_id % p AS target_id,
   CASE WHEN quality = 1 THEN 'core' ELSE 'support' END AS role, ['doc:' || l.doc_id] AS source_refs
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id, (SELECT count(*) AS p FROM part))""",
     "profiles": """profiles AS (SELECT 'prof:' || o_orderkey AS id, 'part:' || o_custkey % p AS node_id, o_orderpriority AS domain, [o_orderstatus] AS school_stages,

@@ -63,9 +63,9 @@ def test_edit_distance_equals_the_table():
         assert O._edit(a, b) == row[-1]
 
 
-def test_evidence_hints():
+def test_evidence_hints(spark):
     text = "| a | b |\n|---|---|\n| 1 | 2 |\n\n$$\nx = 1\n$$\ninline $y$ here\n![alt](p.png)\n| lone |\nend\n$$ z $$\n$$\nopen"
-    got = [(h["modality"], h["locator"]) for h in O.evidence_hints(text)]
+    got = [(h.modality, h.locator) for h in O.hints(spark.createDataFrame([(1, text)], "book_id long, md string")).orderBy("position").collect()]
     assert got == [("table", "markdown-table-1"), ("equation", "line:7"), ("equation", "line:8"), ("image", "line:9"), ("equation", "line:12"), ("equation", "markdown-equation-unclosed")]
 
 
@@ -144,7 +144,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def lengths(texts):
     if any(t == "boom" for t in texts):
-        raise RuntimeError("service down")
+        raise ConnectionError("service down")
     return [[float(len(t)), 1.0, 2.0] for t in texts]
 
 
@@ -152,7 +152,7 @@ def test_embedding_service():
     from quern.sources import services as V
 
     assert V.embed_batch(["ab", " ", "c"], lengths, 2) == [[2.0, 1.0], [], [1.0, 1.0]]
-    assert V.embed_batch(["boom", "x"], lengths, 2) == [[], []] and V.embed_batch(["x"], lengths, 9) == [[]]
+    assert V.embed_batch(["boom", "x"], lengths, 2, wait=0.01) == [[], []] and V.embed_batch(["x"], lengths, 9) == [[]]
 
 
 def test_embedding_frame_archives_and_publishing(spark, tmp_path):
