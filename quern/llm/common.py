@@ -1,44 +1,18 @@
-"""Shared helpers: scratch tables in the cluster's shared folder, Arrow maps, connected components."""
+"""Shared helpers of the operators: Arrow maps over slices, worker state, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators import graph
+from quern.shared import drop_scratch, scratch, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where the session names none."""
-    held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not held:
-        held = spark.conf.get("quern.scratch.dir", None)
-        if not held:
-            held = "file://" + tempfile.mkdtemp(prefix="quern-")
-            spark.conf.set("quern.scratch.dir", held)
-    return held.rstrip("/")
-
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quern/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._quern_path = path
-    return out
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Remove a table made by ``scratch`` that nothing reads any more."""
-    path = getattr(df, "_quern_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
 
+__all__ = ["arrow_map", "components", "drop_scratch", "limit_batches", "merge_splits", "release_state", "scratch", "shared_dir", "worker_state"]
 
 #: Rows of an Arrow batch in jobs over whole texts.
 BATCH_ROWS = 1000
@@ -104,33 +78,10 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return merge_splits(df).mapInArrow(run, schema)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected graph by alternating large-star and small-star rounds.
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of an undirected graph (``a``, ``b``): node, root (the smallest node), by the engine's rounds.
 
-    ``edges``: columns ``a``, ``b`` (long), any order, repeats and self-loops allowed. Returns ``node``, ``root`` for
-    every node that has an edge to another node; ``root`` is the smallest node of the component. Each round is two
-    partial aggregations and two equi-joins (a hub is a skewed join key, which AQE splits); no group is collected. One small
-    table is written per round.
-    An empty edge table gives an empty result.
+    Any order, repeats and self-loops are allowed; nodes without an edge to another are not in the result, so an empty edge
+    table gives an empty one. No group is collected, and one small table is written per round.
     """
-    e = scratch(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc"
-    )
-    sign = None
-    for _ in range(max_rounds):
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
-        ).distinct()
-        nxt = scratch(small, "cc")
-        drop_scratch(e)
-        e = nxt
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == sign:
-            roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
-        sign = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return graph.components(edges.select(F.col("a").alias("from_id"), F.col("b").alias("to_id"))).toDF("node", "root")

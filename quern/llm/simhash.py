@@ -39,6 +39,14 @@ TAU, HOT, BITS = 2, 256, 64
 PIECE = 1 << 16
 
 
+def bit_votes(h: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit, counted piece by piece."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(h), PIECE):
+        ones += np.unpackbits(h[i : i + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones
+
+
 def fingerprint(text: bytes | None, k: int = 3) -> int:
     """The SimHash of one text as an unsigned 64-bit integer."""
     words = (text or b"").lower().split()
@@ -50,8 +58,7 @@ def fingerprint(text: bytes | None, k: int = 3) -> int:
     for i in range(0, n, PIECE):
         part = words[i : i + PIECE + k - 1]
         grams = zip(*(part[j:] for j in range(k)), strict=False) if len(words) >= k else [part]
-        h = np.fromiter((digest(b" ".join(g), 42) for g in grams), np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += bit_votes(np.fromiter((digest(b" ".join(g), 42) for g in grams), np.uint64))
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
