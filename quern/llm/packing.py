@@ -3,17 +3,23 @@
 Documents become token ids plus an end id. Only those longer than a sequence are cut, from the end, into full pieces; the
 first piece may be shorter. Packing depends on lengths alone, so the driver plans with the histogram (at most ``size``
 counts, whatever the corpus): a configuration is a multiset of lengths that fits one sequence, and the program minimises
-the number of configurations that cover all pieces. It is solved by multiplicative weights: lengths that are covered
-least get the largest prices, a knapsack dynamic program prices the best configuration, and that one is used a step
-further. The fractional solution is rounded down against the remaining counts; what is left is packed best fit: the
-longest piece first, then lengths that fill the sequence as far as a bounded subset sum can.
+the number of configurations that cover all pieces. It is solved by multiplicative weights: the price of a length falls
+exponentially with the share of its demand that is covered, a knapsack dynamic program finds the best filling of every
+capacity at these prices, and each of the ``BATCH`` lengths covered least is used with the best filling of its rest, ``STEP`` of
+the scarcest demand in it at a time. Rounds end when every length is covered, so the fractional solution is feasible; it needs about
+1 % more sequences than the total length asks for at least.
+
+The uses are rounded in order by their running sum, against the counts that remain: a configuration whose pieces have run out
+in part keeps what is there, and is completed best fit (lengths that fill it as far as a bounded subset sum can). What
+the program leaves by rounding is packed the same way, the longest piece first.
 
 The plan is a table of rank ranges (length, from rank, per sequence, first sequence, offset), bounded by the number of
 configurations. Pieces get their rank within their length from counts by task and length, then look up their place in
 the broadcast plan. Nothing is grouped by length, so a length that a third of all pieces have is no hot key.
 
 Defined results: null text packs as empty (its end id alone). Null ids and repeated rows are packed row by row. An empty
-table gives an empty result. Further columns of the pieces are passed through; the names in ``RESERVED`` are refused.
+table gives an empty result. Further columns of the pieces are passed through; ``sequence_id`` and ``offset`` replace
+columns of these names.
 """
 
 from __future__ import annotations
@@ -32,15 +38,14 @@ from quern.llm.common import arrow_map, scratch, worker_state
 from quern.llm.vocab import ByteIds, byte_ranks, read_tokenizer
 
 SIZE, END = 1024, 2
-ROUNDS, STEP, ETA, POWER = 600, 0.5, 4.0, 1.3
-RESERVED = ("quern_task", "quern_rank", "sequence_id", "offset")
+BATCH, STEP, ETA = 64, 0.01, 8.0
 
 
 # --- the plan ------------------------------------------------------------------------------------------------------
 
 
-def best_configuration(value: np.ndarray, size: int) -> Counter:
-    """Unbounded knapsack: the multiset of lengths (index) of total length <= size with the highest sum of values."""
+def fillings(value: np.ndarray, size: int) -> np.ndarray:
+    """Unbounded knapsack for every capacity: the length to take first (0: leave a place free) for the highest sum of values."""
     best, take = np.zeros(size + 1), np.zeros(size + 1, np.int64)
     for c in range(1, size + 1):
         v = best[:c][::-1] + value[1 : c + 1]
@@ -49,41 +54,48 @@ def best_configuration(value: np.ndarray, size: int) -> Counter:
             best[c], take[c] = v[i], i + 1
         else:
             best[c] = best[c - 1]
-    out, c = Counter(), size
-    while c:
-        if take[c]:
-            out[int(take[c])] += 1
-            c -= int(take[c])
-        else:
-            c -= 1
+    return take
+
+
+def configuration(take: np.ndarray, capacity: int) -> Counter:
+    """The multiset of lengths of the best filling of a capacity."""
+    out: Counter = Counter()
+    while capacity:
+        if x := int(take[capacity]):
+            out[x] += 1
+        capacity -= x or 1
     return out
 
 
-def fractional(counts: np.ndarray, size: int, rounds: int = ROUNDS) -> Counter:
-    """Multiplicative weights on the covering program: configuration (item tuple) -> times used, a fraction."""
+def fractional(counts: np.ndarray, size: int, step: float = STEP, batch: int = BATCH) -> tuple[Counter, float]:
+    """Multiplicative weights on the covering program: (configuration (item tuple) -> times used, least share covered).
+
+    Prices are divided by the demand, so a unit of price is a share of a length's whole demand. Every round covers the
+    least covered lengths further, so the rounds are bounded by lengths / (step * batch) and some.
+    """
     used: Counter = Counter()
-    there, need = counts > 0, np.maximum(counts, 1).astype(float)
-    covered = np.zeros(size + 1)
-    # Long pieces are the scarce ones: their starting price is above their share of a sequence.
-    start = (np.arange(size + 1) / size) ** POWER
-    for _ in range(rounds):
+    there = np.flatnonzero(counts)
+    need, covered = np.maximum(counts, 1).astype(float), np.zeros(size + 1)
+    area = np.where(counts > 0, np.arange(size + 1) / size, 0.0)  # a length's price at equal weights: its part of a sequence
+    while (low := (covered[there] / need[there]).min()) < 1:
         share = covered / need
-        low = share[there].min()
-        if low >= 1:
-            break
-        c = best_configuration(np.where(there, start * np.exp(-ETA * np.minimum(share - low, 40)), 0), size)
-        step = STEP * min(counts[x] / k for x, k in c.items())
-        used[tuple(sorted(c.items(), reverse=True))] += step
-        for x, k in c.items():
-            covered[x] += k * step
-    return used
-
-
-def fill(left: np.ndarray, size: int) -> Counter:
-    """The longest piece left, then the bounded subset of the rest that fills the sequence best."""
+        take = fillings(np.where(share < 1, area * np.exp(-ETA * np.minimum(share - low, 40)), 0.0), size)
+        for x in there[np.argsort(share[there], kind="stable")][:batch].tolist():
+            if share[x] >= 1:
+                break
+            c = configuration(take, size - x) + Counter({x: 1})
+            k = step * min(need[y] / n for y, n in c.items())
+            used[tuple(sorted(c.items(), reverse=True))] += k
+            for y, n in c.items():
+                covered[y] += n * k
+    return used, float(low)
+
+
+def fill(left: np.ndarray, size: int, base: Counter | None = None) -> Counter:
+    """``base`` (or the longest piece left) with the bounded subset of the rest that fills the sequence best."""
     items = np.flatnonzero(left)
-    first = int(items[-1])
-    room, out = size - first, Counter({first: 1})
+    out = Counter(base) if base else Counter({int(items[-1]): 1})
+    room = size - sum(a * b for a, b in out.items())
     greedy, gap = Counter(), room
     for x in items[::-1].tolist():
         k = min(gap // x, int(left[x]) - out[x])
@@ -112,36 +124,39 @@ def fill(left: np.ndarray, size: int) -> Counter:
     return out
 
 
-def rounded(counts: np.ndarray, used: Counter, size: int) -> list[tuple[Counter, int]]:
-    """Fractional uses rounded down against the remaining counts (full configurations only), the rest best fit."""
+def rounded(counts: np.ndarray, used: Counter, size: int) -> tuple[list[tuple[Counter, int]], int]:
+    """(configurations with their numbers of sequences, how many of these sequences come from the program)."""
     left, out = counts.copy(), []
-    for items, times in sorted(used.items(), key=lambda x: (-sum(a * b for a, b in x[0]), -x[1], x[0])):
-        if sum(a * b for a, b in items) < size:
-            break
-        k = min(int(times), *(int(left[a]) // b for a, b in items))
-        if k:
-            out.append((Counter(dict(items)), k))
-            for a, b in items:
-                left[a] -= b * k
-    while left.any():
-        c = fill(left, size)
-        k = min(int(left[a]) // b for a, b in c.items())
+
+    def use(c: Counter, most: int) -> int:
+        k = min(most, *(int(left[a]) // b for a, b in c.items()))
         out.append((c, k))
         for a, b in c.items():
             left[a] -= b * k
-    return out
-
+        return k
+
+    total = 0.0
+    for items, times in sorted(used.items(), key=lambda x: (-x[1], x[0])):
+        want, total = int(total + times + 1e-9) - int(total + 1e-9), total + times
+        while want > 0:
+            part = Counter({a: n for a, b in items if (n := min(b, int(left[a])))})
+            if not part:
+                break
+            full = sum(part.values()) == sum(b for _, b in items) and sum(a * b for a, b in items) == size
+            want -= use(part if full else fill(left, size, part), want if full else 1)
+    program = sum(k for _, k in out)
+    while left.any():
+        use(fill(left, size), int(left.max()))
+    return out, program
 
-def plan(counts: np.ndarray, size: int = SIZE, rounds: int = ROUNDS) -> tuple[list[tuple[Counter, int]], int]:
-    """counts[l] pieces of each length to (configurations with their numbers of sequences, sequences in all).
 
-    Of the rounded program and best fit alone the plan with fewer sequences is taken.
-    """
+def plan(counts: np.ndarray, size: int = SIZE, step: float = STEP) -> tuple[list[tuple[Counter, int]], int]:
+    """counts[l] pieces of each length to (configurations with their numbers of sequences, sequences in all)."""
     rest = counts.astype(np.int64).copy()
     out = [(Counter({size: 1}), int(rest[size]))] if rest[size] else []
     rest[size] = 0
     if rest.any():
-        out += min((rounded(rest, u, size) for u in (fractional(rest, size, rounds), Counter())), key=lambda p: sum(k for _, k in p))
+        out += rounded(rest, fractional(rest, size, step)[0], size)[0]
     return out, sum(k for _, k in out)
 
 
@@ -188,11 +203,13 @@ def token_pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, t
     return arrow_map(docs.select("doc_id", text), run, "doc_id long, piece int, start long, length long, ids binary", 128, stateful=True)
 
 
-def pack(pieces: DataFrame, size: int = SIZE, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, size: int = SIZE, step: float = STEP) -> DataFrame:
     """``pieces`` (any table with ``length`` from 1 to ``size``) with sequence_id and offset."""
-    if clash := set(RESERVED) & set(pieces.columns):
-        raise ValueError(f"reserved column names: {sorted(clash)}")
+    pieces = pieces.drop("sequence_id", "offset")
     fields = list(pieces.columns)
+    task_name, rank_name = "quern_task", "quern_rank"
+    while {task_name, rank_name} & set(fields):
+        task_name, rank_name = task_name + "_", rank_name + "_"
     at = fields.index("length")
 
     def rank(batches):
@@ -209,20 +226,21 @@ def pack(pieces: DataFrame, size: int = SIZE, rounds: int = ROUNDS) -> DataFrame
             local[order] = where
             local += seen[x]
             np.add.at(seen, x, 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(x), task)), pa.array(local)], [*fields, "quern_task", "quern_rank"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(x), task)), pa.array(local)], [*fields, task_name, rank_name])
 
-    schema = T.StructType([*pieces.schema.fields, T.StructField("quern_task", T.LongType()), T.StructField("quern_rank", T.LongType())])
+    schema = T.StructType([*pieces.schema.fields, T.StructField(task_name, T.LongType()), T.StructField(rank_name, T.LongType())])
     ranked = scratch(pieces.mapInArrow(rank, schema), "pieces")
-    by_task = ranked.groupBy("length", "quern_task").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("quern_task").rowsBetween(Window.unboundedPreceding, -1))
+    by_task = ranked.groupBy("length", task_name).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy(task_name).rowsBetween(Window.unboundedPreceding, -1))
     by_task = scratch(by_task.withColumn("before", F.coalesce(before, F.lit(0))), "pieces")
     counts = np.zeros(size + 1, np.int64)
     for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``size`` rows
         counts[r["length"]] = r["n"]
-    places = runs(plan(counts, size, rounds)[0], size)
+    places = runs(plan(counts, size, step)[0], size)
     held = pieces.sparkSession.sparkContext.broadcast(places)
-    joined = ranked.join(by_task.select("length", "quern_task", "before"), ["length", "quern_task"])
-    joined = joined.select(*fields, (F.col("before") + F.col("quern_rank")).alias("quern_rank"))
+    before = by_task.select(F.col("length").alias("own_length"), F.col(task_name).alias("own_task"), F.col("before").alias("own_before"))
+    joined = ranked.alias("p").join(before.alias("b"), F.expr(f"p.length = b.own_length AND p.{task_name} = b.own_task"))
+    joined = joined.select(*[F.col(f"p.`{c}`") for c in fields], (F.col("b.own_before") + F.col(f"p.{rank_name}")).alias(rank_name))
 
     def place(b: pa.RecordBatch) -> pa.RecordBatch:
         p = held.value
@@ -246,10 +264,9 @@ def op4_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return packed_digest(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packed_digest(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 
 def packed_digest(docs: DataFrame, path: str) -> DataFrame:
-    """The places of all pieces with a checksum in place of the ids."""
-    pieces = token_pieces(docs, path).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """``pack_documents`` with a checksum of the ids: doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids."""
+    return pack_documents(docs, path).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "ids")

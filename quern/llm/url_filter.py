@@ -8,24 +8,33 @@ path; the longest rule wins (ties: the longer host).
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and is judged by the
 vocabulary alone (null: allow). Repeated rows are judged one by one. Columns of the input other than the url are passed
 through; the five result columns replace input columns of the same name. The operator is map-only: no shuffle, so hot
-hosts do not matter, and an empty table gives an empty result. Vocabulary and rules are broadcast with the function and
-are bounded by ``MAX_TERMS`` and ``MAX_RULES``.
+hosts do not matter, and an empty table gives an empty result. Vocabulary and rules are broadcast
+once per job and are bounded by ``MAX_TERMS`` and ``MAX_RULES``.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import limit_batches, merge_splits
+from quern.llm.common import limit_batches, merge_splits, worker_state
 
-#: The vocabulary in production use.
-STRICT_TERMS = ("casino", "porn", "xxx", "viagra", "escort", "spam", "phishing", "warez")
+#: The default vocabulary, a small one for the query. One strict term blocks; soft terms block when their weights
+#: reach ``SOFT_LIMIT``. Larger vocabularies come as tables (``vocabulary``).
+STRICT_TERMS = (
+    "casino", "porn", "porno", "xxx", "viagra", "cialis", "escort", "escorts", "spam", "phishing", "warez", "keygen", "camgirls", "hentai", "milf", "onlyfans", "slots", "sportsbook", "betting", "gambling",
+    "malware", "ransomware", "carding", "cvv", "torrent", "torrents", "nude", "nudes", "sexcam", "payday",
+)
 SOFT_TERMS = {
-    "cheap": 1.0, "pills": 1.0, "free": 1.0, "bets": 1.0, "bet": 1.0, "win": 1.0, "ads": 1.0, "track": 1.0, "farm": 1.0,
-    "loan": 1.0, "bonus": 1.0, "deal": 1.0, "poker": 1.0, "adult": 1.0, "hack": 1.0, "crack": 1.0,
+    "adult": 1.25, "crack": 1.25, "hack": 1.25, "pills": 1.25, "poker": 1.25, "bets": 1.0, "bet": 1.0, "bonus": 1.0, "cheap": 1.0, "farm": 1.0, "free": 1.0, "loan": 1.0, "loans": 1.0, "win": 1.0, "winner": 1.0,
+    "ads": 1.0, "track": 1.0, "click": 0.75, "coupon": 0.75, "deal": 1.0, "deals": 0.75, "discount": 0.75, "download": 0.75, "jackpot": 1.25, "lottery": 1.25, "prize": 0.75, "promo": 0.75, "replica": 1.0,
+    "sexy": 1.25, "dating": 0.75, "singles": 0.75, "hot": 0.5, "buy": 0.5, "now": 0.25, "sale": 0.5, "offer": 0.5, "best": 0.25, "rich": 0.5, "quick": 0.25, "cash": 0.75, "credit": 0.5, "debt": 0.75,
+    "weight": 0.5, "loss": 0.5, "miracle": 1.0, "cure": 0.5, "leaked": 1.0, "pirated": 1.25, "serial": 0.75, "unlock": 0.5,
 }
 SOFT_LIMIT = 2.0
 #: Fixed values: (host, path, verdict).
@@ -54,6 +63,17 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(_UPPER), path[:stop]
 
 
+def vocabulary(terms: DataFrame) -> tuple[tuple[str, ...], dict[str, float]]:
+    """(strict terms, soft terms with weights) of a table term, kind (strict or soft), weight; at most ``MAX_TERMS`` rows.
+
+    Repeated terms count once: strict before soft, then with the largest weight; null and empty terms are left out.
+    """
+    rows = terms.where("term <> ''").groupBy("term").agg(F.max(F.col("kind") == "strict").alias("strict"), F.max("weight").alias("weight")).limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError("the vocabulary exceeds the bound for broadcasting")
+    return tuple(sorted(r["term"] for r in rows if r["strict"])), {r["term"]: r["weight"] or 0.0 for r in rows if not r["strict"]}
+
+
 class Vocabulary:
     """The automaton with the weights of its terms."""
 
@@ -105,6 +125,13 @@ class Rules:
         return best and best[1:]
 
 
+class Judge:
+    """The automaton and the rules, built once per Python worker and job."""
+
+    def __init__(self, strict, soft, soft_limit, rules):
+        self.parts = Vocabulary(strict, soft, soft_limit), Rules(rules)
+
+
 RESULT = [("host", T.StringType()), ("path", T.StringType()), ("rule", T.StringType()), ("verdict", T.StringType()), ("terms", T.StringType())]
 
 
@@ -120,8 +147,10 @@ def url_filter(df: DataFrame, url: str = "url", strict=STRICT_TERMS, soft=None,
 
     limit_batches(df.sparkSession)
 
+    held = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, tuple(strict), dict(soft), soft_limit, tuple(rules)))
+
     def run(batches):
-        vocabulary, table = Vocabulary(strict, soft, soft_limit), Rules(rules)
+        vocabulary, table = worker_state(held, Judge).parts
         for b in batches:
             rows = []
             for u in b.column(b.schema.get_field_index(url)).to_pylist():
@@ -163,7 +192,7 @@ split AS (
 SELECT page_id, host, path, CASE {rule} END AS rule,
   CASE {verdict}
     WHEN {" OR ".join(strict)} THEN 'block'
-    WHEN {" + ".join(f"{x}::INT" for x in soft)} >= {int(SOFT_LIMIT)} THEN 'block' ELSE 'allow' END AS verdict,
+    WHEN {" + ".join(f"{w} * {x}::INT" for x, w in zip(soft, SOFT_TERMS.values(), strict=True))} >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
   concat_ws(',', {terms}) AS terms
 FROM split"""
 

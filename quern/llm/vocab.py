@@ -53,26 +53,26 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def frequent_lengths(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """Packed table of whole words that the vocabulary lists: (joined bytes, end offsets, token counts).
+def drops_white_space(text: str) -> bool:
+    """Whether a tokenizer gives every text the tokens of its words, without any for white space.
 
-    A byte-pair vocabulary lists the frequent pre-tokens of the text it was made from, so this first tier needs no pass
-    over the corpus; it has at most as many entries as the vocabulary. Counts come from the tokenizer itself.
+    Checked on its configuration (byte-pair merging inside pre-tokens, with a mark at word ends, so no token spans words) and on
+    samples of white space of every kind.
     """
-    model = json.loads(text)["model"]
-    suffix, alphabet = model.get("end_of_word_suffix") or "", byte_alphabet()
-    words = []
-    for piece in model["vocab"]:
-        if suffix and piece.endswith(suffix) and len(piece) > len(suffix):
-            try:
-                words.append(bytes(alphabet[c] for c in piece[: -len(suffix)]).decode())
-            except (KeyError, UnicodeDecodeError):
-                continue
-    words = [w for w in dict.fromkeys(words) if not any(c.isspace() for c in w)]
-    t = Tokenizer.from_str(text)
-    n = np.array([len(e.ids) for e in t.encode_batch(words, add_special_tokens=False)], np.uint16)
-    raw = [w.encode() for w in words]
-    return b"".join(raw), np.cumsum([len(w) for w in raw], dtype=np.uint32), n
+    head = json.loads(text)
+    model = head["model"]
+    if model["type"] != "BPE" or not model.get("end_of_word_suffix") or model.get("dropout"):
+        return False
+    t, parts = Tokenizer.from_str(text), ["a", "bcd", "7", "!?", "é"]
+    n = lambda x: len(t.encode(x, add_special_tokens=False).ids)
+    alone = sum(map(n, parts))
+    return all(n(x + x.join(parts) + x) == alone for x in (" ", "  ", "\t", "\n", "\r\n", " \n \t", "\x0b", "\x0c"))
+
+
+def packed(lengths: dict[bytes, int]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A table of lengths to broadcast: (joined words, end offsets, token counts)."""
+    words = list(lengths)
+    return b"".join(words), np.cumsum([len(w) for w in words], dtype=np.uint32), np.array([lengths[w] for w in words], np.uint32)
 
 
 def unpack(table: tuple[bytes, np.ndarray, np.ndarray]) -> dict[bytes, int]:

@@ -49,3 +49,34 @@ def test_quantisation_bound_is_rigorous():
     assert (np.abs(about - x @ x.T) <= err[:, None] + size[:, None] * err[None, :] + 1e-6).all()
     long = rng.integers(-127, 128, (3, 5000)).astype(np.int8)
     assert (E.product(long, long) == long.astype(np.int64) @ long.astype(np.int64).T).all()
+
+
+def test_vectors_of_any_finite_scale_and_further_columns(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(6, 8))
+    rows = [(i, [float(v) for v in base[i % 6] + rng.normal(size=8) * 0.08]) for i in range(40)]
+    plain = {r[0]: tuple(r) for r in E.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert any(r[1] for r in plain.values())
+    for scale in (1e200, 1e-170, 1e-310):
+        if scale > 1e-300:
+            big = [(i, [v * scale for v in x], "k", i) for i, x in rows]
+        else:  # subnormal numbers keep few bits: whole multiples of the smallest one
+            big = [(i, [round(v * 1e6) * 5e-324 for v in x], "k", i) for i, x in rows]
+        df = spark.createDataFrame(big, "vec_id long, embedding array<double>, key string, cls int")
+        got = {r[0]: tuple(r) for r in E.embedding_groups(df, tile=7).collect()}
+        assert got == plain, scale
+
+
+def test_sure_and_open_pairs_agree_with_exact_products():
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(8, 64)), 12, axis=0) + rng.normal(size=(96, 64)) * rng.choice([0.05, 0.2, 0.24], size=(96, 1))
+    q, s, size, err = E.quantise(E.units(x))
+    cls, one, side = np.arange(96), np.ones(96, np.int64), np.full(96, 2)
+    first = E.tile_links(cls, one, side, q, s, size, err, 0.95)
+    second = E.tile_links(cls, one, side, q, s, size, err, 0.95, x)
+    n = np.zeros(96, np.int64)
+    for t in (first, second):
+        n[t["cls"]] += t["linked"]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert (n == ((unit @ unit.T >= 0.95).sum(axis=1) - 1)).all()
+    assert first["open"].any() and second["linked"].sum() > 0 and first["linked"].sum() > second["linked"].sum()

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from quern.llm import packing, token_count, vocab
@@ -28,7 +29,7 @@ def test_ids_and_counts_are_the_library_s():
             assert np.frombuffer(coder.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
     path = public_tokenizers.path("word_bpe_49k.json")
     w, text = Tokenizer.from_file(path), vocab.read_tokenizer(path)
-    c = vocab.WordCounter(text, vocab.frequent_lengths(text))
+    c = vocab.WordCounter(text, vocab.packed({b"the": 1, b"hello": 1}))
     for x in texts:
         assert c.count(x.encode()) == len(w.encode(x, add_special_tokens=False).ids), x
 
@@ -54,6 +55,30 @@ def token_counts(df, path):
     return token_count.token_counts(df, path, limit=1000)
 
 
+def test_tier_one_is_the_sample_s_frequent_words(spark):
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(50)] + ["x" * 200, "\u65e5\u672c"]
+    texts = [" ".join(rng.choice(words[: 2 + i % 52]) for _ in range(30)) for i in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = Counter(w.encode() for t in texts for w in t.split() if len(w.encode()) <= vocab.LONGEST)
+    got = token_count.frequent_words(df, sample=1000, entries=10)
+    assert sorted(n[w] for w in got) == sorted(sorted(n.values())[-10:])
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    assert token_count.frequent_lengths(df, open(path).read(), 1000, 10) == {w: len(t.encode(w.decode(), add_special_tokens=False).ids) for w in got}
+    share = sum(n[w] for w in got) / sum(len(x.split()) for x in texts)
+    assert token_count.hit_rate(df, path, 1000, 10) == pytest.approx(share)
+    want = {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    for entries in (1, 1000):
+        assert {r.doc_id: r.n_tokens for r in token_count.token_counts(df, path, entries=entries, sample=20).collect()} == want
+
+
+def test_tokenizers_that_keep_white_space_are_refused(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="white space"):
+        token_count.token_counts(df, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def check_places(rows, size):
     seqs = {}
     for r in rows:
@@ -109,3 +134,62 @@ def test_packed_documents(spark):
     crc = {(r.doc_id, r.piece): zlib.crc32(bytes(r.ids)) for r in rows}
     assert {(r.doc_id, r.piece): r.ids_crc32 for r in digest.collect()} == crc
     assert packing.packed_digest(df.limit(0), path).count() == 0
+
+
+def least_bins(lengths, size):
+    """The exact optimum by trying all assignments of pieces in decreasing order, with pruning."""
+    lengths, best = sorted(lengths, reverse=True), len(lengths)
+
+    def go(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for j in range(len(rooms)):
+            if rooms[j] >= lengths[i] and rooms[j] not in rooms[:j]:
+                go(i + 1, [*rooms[:j], rooms[j] - lengths[i], *rooms[j + 1 :]])
+        go(i + 1, [*rooms, size - lengths[i]])
+
+    go(0, [])
+    return best
+
+
+def test_plan_against_the_exact_optimum_on_small_histograms():
+    rng = random.Random(9)
+    over = 0
+    for _ in range(120):
+        size = rng.choice([10, 16, 30])
+        lengths = [rng.randint(1, size) for _ in range(rng.randint(1, 10))]
+        counts = np.bincount(lengths, minlength=size + 1)
+        total, want = packing.plan(counts, size)[1], least_bins(lengths, size)
+        assert want <= total <= want + 1
+        over += total - want
+    assert over <= 4
+
+
+def test_the_fractional_program_is_feasible_and_tight():
+    rng = np.random.default_rng(2)
+    for n, spread in ((300, 1.0), (5000, 0.3), (200_000, 0.6)):
+        counts = np.bincount(np.clip((rng.random(n) ** (1 / spread) * 1023).astype(int) + 1, 1, 1023), minlength=1025)
+        used, low = packing.fractional(counts, 1024)
+        covered = np.zeros(1025)
+        for items, k in used.items():
+            assert k > 0 and sum(a * b for a, b in items) <= 1024
+            for a, b in items:
+                covered[a] += b * k
+        assert low >= 1 and (covered >= counts - 1e-6 * counts.max()).all()
+        cfg, program = packing.rounded(counts, used, 1024)
+        total, bound = sum(k for _, k in cfg), int((counts * np.arange(1025)).sum()) / 1024
+        if (counts[513:].sum()) <= bound:  # otherwise the long pieces alone need more
+            assert sum(used.values()) <= 1.06 * bound + 5 and total <= 1.006 * bound + 7
+        assert program >= 0.9 * total
+
+
+def test_packing_keeps_columns_that_clash(spark):
+    df = spark.createDataFrame([(i, 1 + i * 7 % 10, "x", i, 0.5) for i in range(40)], "offset int, length long, sequence_id string, quern_rank int, before double")
+    got = packing.pack(df, 10).collect()
+    assert sorted(r.quern_rank for r in got) == list(range(40)) and {r.before for r in got} == {0.5}
+    assert set(got[0].asDict()) == {"offset", "length", "sequence_id", "quern_rank", "before"}
+    check_places(got, 10)
