@@ -9,7 +9,7 @@ capacity at these prices, and each of the ``BATCH`` lengths covered least is use
 the scarcest demand in it at a time. Rounds end when every length is covered, so the fractional solution is feasible; it needs about
 1 % more sequences than the total length asks for at least.
 
-The uses are rounded in order by their running sum, against the counts that remain: a configuration whose pieces have run out
+The uses are rounded in order by their running sum, those with the longest pieces first, against the counts that remain: a configuration whose pieces have run out
 in part keeps what is there, and is completed best fit (lengths that fill it as far as a bounded subset sum can). What
 the program leaves by rounding is packed the same way, the longest piece first.
 
@@ -136,7 +136,7 @@ def rounded(counts: np.ndarray, used: Counter, size: int) -> tuple[list[tuple[Co
         return k
 
     total = 0.0
-    for items, times in sorted(used.items(), key=lambda x: (-x[1], x[0])):
+    for items, times in sorted(used.items(), key=lambda x: (-x[0][0][0], -x[1], x[0])):
         want, total = int(total + times + 1e-9) - int(total + 1e-9), total + times
         while want > 0:
             part = Counter({a: n for a, b in items if (n := min(b, int(left[a])))})
