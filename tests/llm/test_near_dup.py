@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from corpus_pipeline import STAGES
 from quern.llm import near_dup
 from quern.llm.simhash import fingerprint
@@ -56,3 +59,23 @@ def test_the_stage_drops_near_copies_beyond_two_bits(spark):
     assert bin(fingerprint(texts[0].encode()) ^ fingerprint(texts[1].encode())).count("1") > 2
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert sorted(r.doc_id for r in dict(STAGES)["simhash_dedup"](spark, docs, "").collect()) == [0, 2]
+
+
+def test_bitmaps_never_pass_over_a_similar_pair(spark):
+    rng = random.Random(7)
+    rows = []
+    for i, n in enumerate([1, 5, 63, 64, 65, 130, 500, 520, 700, 3000, 9000]):
+        a = [rng.getrandbits(64) for _ in range(n)]
+        b = a[: n - n // 10] + [rng.getrandbits(64) for _ in range(n // 10)]
+        c = a + [rng.getrandbits(64) for _ in range(n // 4)]
+        for x, y in ((a, b), (a, c), (c, a), (a, a)):
+            assert 5 * len({*x} & {*y}) >= 4 * len({*x} | {*y})
+            left, right = (near_dup.parity_bits(np.array(v, np.uint64)).view(np.int64).tolist() for v in (x, y))
+            rows.append((i, len(x), len(y), left, right))
+    pairs = spark.createDataFrame(rows, "i int, n_a int, n_b int, bits_a array<long>, bits_b array<long>")
+    short = pairs
+    for s in "ab":
+        short = short.withColumn(f"bits_{s}", F.expr(near_dup.SHORT_BITS.replace("bits", f"bits_{s}")))
+    test = near_dup.near_bits(near_dup.NUM, near_dup.DEN)
+    assert pairs.where(test).count() == short.where(test).count() == len(rows)
+    assert short.selectExpr("max(greatest(size(bits_a), size(bits_b)))").first()[0] == 8
