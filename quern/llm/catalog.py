@@ -6,11 +6,14 @@ from quern.llm import (
     decontaminate,
     embed_dedup,
     langid,
+    lexical,
     license_scan,
     packing,
     secret_scan,
     simhash,
+    source_audit,
     token_count,
+    toxicity,
     url_filter,
     warc,
 )
@@ -26,10 +29,15 @@ QUERIES = {
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_warc": warc.op10_warc,
+    "op11_toxicity": toxicity.op11_toxicity,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_source_divergence": source_audit.op13_source_divergence,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
     "op3_embedding_dedup": embed_dedup.ORACLE,
     "op5_license_scan": license_scan.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op12_lexical_search": lexical.ORACLE,
+    "op13_source_divergence": source_audit.ORACLE,
 }
