@@ -162,51 +162,74 @@ def _score(s: dict, c: dict, threshold: float, lexical: Callable = best_ratio) -
 
 
 def fold(pdf: pd.DataFrame, match: float = S.MATCH_THRESHOLD, review: float = S.REVIEW_THRESHOLD, threshold: float = S.EMBEDDING_THRESHOLD) -> pd.DataFrame:
-    """M8 on one group: staged rows in (created_at, row) order; the first best candidate wins; unmatched rows become candidates.
+    """M8 on one group of distinct signatures: staged ones in order of their first rows; the first best candidate wins.
 
-    A score under ``review`` is reported as zero: rows that cannot reach it are never compared. Equal rows repeat their
-    outcome, and only candidates that came since are scored, so a large group of one name stays linear.
+    Only the first row of a signature can become a candidate: a later one scores that row, or what it matched, over the threshold.
+    So ``first`` rows are the outcomes of first rows, the others say what later rows get: from each place on where a better
+    candidate has come, that candidate. A score under ``review`` is reported as zero: rows that cannot reach it are never compared.
     """
     rows = pdf.to_dict("records")
     for r in rows:
         r["terms"] = tuple(r["terms"]) if r["terms"] is not None else ()
     lexical = lru_cache(1 << 18)(best_ratio)
     held = sorted((r for r in rows if not r["staged"]), key=lambda r: r["row"])
-    out, seen = [], {}
-    for s in sorted((r for r in rows if r["staged"]), key=lambda r: (r["created_at"], r["row"])):
-        sig = (s["terms"], s["semantic_key"], s["code"], None if s["embedding"] is None else tuple(s["embedding"]))
-        best, at, start = seen.get(sig, (0.0, -1, 0))
-        for i in range(start, len(held)):
-            score = _score(s, held[i], threshold, lexical)
+    out, again = [], []
+
+    def best_of(s: dict, start: int, best: float = 0.0) -> Iterator[tuple[float, dict]]:
+        for c in held[start:]:
+            score = _score(s, c, threshold, lexical)
             if score > best:
-                best, at = score, i
-        seen[sig] = (best, at, len(held))
-        if at >= 0 and best >= match:
-            out.append((s["row"], held[at]["canonical_id"], "matched", best))
+                best = score
+                yield best, c
+
+    for s in sorted((r for r in rows if r["staged"]), key=lambda r: (r["created_at"], r["row"])):
+        best, c = max(best_of(s, 0), key=lambda x: x[0], default=(0.0, None))
+        at = (s["sig"], s["created_at"], s["row"])
+        if c is not None and best >= match:
+            out.append((*at, True, c["canonical_id"], "matched", best))
+            out.append((*at, False, c["canonical_id"], "matched", best))
+            if s["n"] > 1:
+                again.append((s, len(held), best))
             continue
         held.append({**s, "canonical_id": s["new_id"]})
-        out.append((s["row"], s["new_id"], "review" if best >= review else "created", best if best >= review else 0.0))
-    return pd.DataFrame(out, columns=["raw_id", "canonical_id", "resolution", "score"])
+        out.append((*at, True, s["new_id"], "review" if best >= review else "created", best if best >= review else 0.0))
+        out.append((*at, False, s["new_id"], "matched", _score(s, s, threshold, lexical)))
+    for s, start, best in again:
+        out += [(s["sig"], c["created_at"], c["row"], False, c["canonical_id"], "matched", score) for score, c in best_of(s, start, best)]
+    return pd.DataFrame(out, columns=["sig", "since_at", "since_row", "first", "canonical_id", "resolution", "score"])
 
 
 def resolve(staged: DataFrame, canonical: DataFrame) -> DataFrame:
     """M8: raw_id, canonical_id, resolution (matched, created, review), score, for all staged rows.
 
-    The result is that of one ordered fold over each kind, but only rows that can reach the review threshold together meet:
-    they are linked through terms, keys and embeddings (``link_components``), and the fold runs inside each component. A
-    component is one task, so names that chain many rows together, as copies of one node, cost rows times candidates there.
+    The result is that of one ordered fold over each kind (created_at, then raw_id), but only rows that can reach the review
+    threshold together meet: they are linked through terms, keys and embeddings (``link_components``), and the fold runs inside
+    each component, on distinct signatures only. All other rows, however many share a hub's signature, get their outcome by a
+    join on the signature: the best candidate there was at their place. Rows without a term and a key match nothing.
     """
     cols = ["kind", "subkind", "name", "aliases", "semantic_key", "embedding"]
     s = staged.select(F.col("raw_id").alias("row"), F.lit(True).alias("staged"), "created_at", *cols, X.canonical_node_id("kind", "name", "subkind").alias("new_id"), F.lit("").alias("canonical_id"))
     c = canonical.select(F.col("id").alias("row"), F.lit(False).alias("staged"), F.lit("").alias("created_at"), *cols, F.lit("").alias("new_id"), F.col("id").alias("canonical_id"))
     rows = s.unionByName(c).withColumn("terms", terms_of()).withColumn("semantic_key", F.coalesce("semantic_key", F.lit(""))).withColumn("code", X.subkind_code("subkind"))
-    rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>")).withColumn("bare", (F.coalesce(F.size("terms"), F.lit(0)) <= 0) & (F.col("semantic_key") == ""))
     rows = rows.withColumn("sig", F.sha2(F.to_json(F.struct("kind", "terms", "semantic_key", "code", "embedding")), 256))
-    one = rows.groupBy("sig").agg(F.max("staged").alias("staged"), *(F.first(k).alias(k) for k in ("kind", "terms", "semantic_key", "embedding")))
-    comp = link_components(G.cut(one))
-    schema = "raw_id string, canonical_id string, resolution string, score double"
-    fields = ["row", "staged", "created_at", "semantic_key", "embedding", "new_id", "canonical_id", "terms", "code"]
-    return rows.join(comp, "sig").select("component", *fields).groupBy("component").applyInPandas(lambda pdf: fold(pdf), schema)
+    fields = ["kind", "terms", "semantic_key", "code", "embedding", "new_id", "canonical_id"]
+    one = rows.where("NOT bare").groupBy("sig", "staged").agg(F.min(F.struct("created_at", "row")).alias("at"), F.min_by(F.struct(*fields), F.struct("created_at", "row")).alias("r"), F.count("*").alias("n"))
+    one = G.cut(one.select("sig", "staged", "at.created_at", "at.row", "n", "r.*"))
+    comp = link_components(one.groupBy("sig").agg(F.max("staged").alias("staged"), *(F.first(k).alias(k) for k in ("kind", "terms", "semantic_key", "embedding"))))
+    schema = "sig string, since_at string, since_row string, first boolean, canonical_id string, resolution string, score double"
+    told = one.drop("kind").join(comp, "sig").groupBy("component").applyInPandas(lambda pdf: fold(pdf.drop(columns="component")), schema)
+    told = told.groupBy("sig").agg(
+        F.max(F.when(F.col("first"), F.struct("since_at", "since_row", "canonical_id", "resolution", "score"))).alias("head"),
+        F.array_sort(F.collect_list(F.when(~F.col("first"), F.struct("since_at", "since_row", "canonical_id", "resolution", "score")))).alias("later"),
+    )
+    got = rows.where("staged").select("sig", "created_at", "row", "new_id", "bare").join(told, "sig", "left")
+    place = F.struct(F.col("created_at").alias("since_at"), F.col("row").alias("since_row"))
+    before = F.filter("later", lambda e: F.struct(e["since_at"].alias("since_at"), e["since_row"].alias("since_row")) < place)
+    own = F.when(F.col("row") == F.col("head.since_row"), F.col("head")).otherwise(F.get(before, F.size(before) - 1))
+    fresh = F.struct(F.col("created_at").alias("since_at"), F.col("row").alias("since_row"), F.col("new_id").alias("canonical_id"), F.lit("created").alias("resolution"), F.lit(0.0).alias("score"))
+    got = got.withColumn("o", F.when(F.col("bare"), fresh).otherwise(own))
+    return got.select(F.col("row").alias("raw_id"), "o.canonical_id", "o.resolution", "o.score")
 
 
 def existing_only(staged: DataFrame, canonical: DataFrame) -> tuple[DataFrame, DataFrame]:
