@@ -130,7 +130,7 @@ class ByteIds:
     """Token ids (little-endian unsigned 32-bit) as a tokenizer file gives them.
 
     Where ``byte_ranks`` allows it, the same vocabulary runs in the faster rank-merging library; texts with a special
-    string, and all texts of other tokenizers, go to the tokenizer itself.
+    string, those whose runs are too long for that library's splitter, and all texts of other tokenizers go to the tokenizer itself.
     """
 
     def __init__(self, text: str, ranks: dict[bytes, int] | None):
@@ -141,4 +141,7 @@ class ByteIds:
     def ids(self, text: str) -> bytes:
         if not self.fast or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:  # its splitter keeps a stack of bounded size, which some hundred thousand blanks in a row exceed
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -193,3 +193,13 @@ def test_packing_keeps_columns_that_clash(spark):
     assert sorted(r.quern_rank for r in got) == list(range(40)) and {r.before for r in got} == {0.5}
     assert set(got[0].asDict()) == {"offset", "length", "sequence_id", "quern_rank", "before"}
     check_places(got, 10)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \n", "a", "‍\U0001f469", "1", "!"])
+@pytest.mark.parametrize("front", ["", "some words before "])
+def test_very_long_runs(run, front):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    held = vocab.read_tokenizer(path)
+    text = front + run * (1_000_000 // len(run))
+    got = np.frombuffer(vocab.ByteIds(held, vocab.byte_ranks(held)).ids(text), "<u4")
+    assert got.tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
