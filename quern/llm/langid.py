@@ -6,7 +6,9 @@ single characters; known n-grams of that length are averaged. A text's scores ar
 is the one with the highest sum, its score that language's share after a softmax.
 
 The model is fitted on a bounded sample: about ``SAMPLE`` documents of each language, chosen by a hash of the id, and
-keeps at most ``ENTRIES`` words in all and ``GRAMS`` n-grams of each length and language, so it can be broadcast.
+keeps at most ``ENTRIES`` words in all and ``GRAMS`` n-grams of each length and language, so it can be broadcast. All
+languages are kept: where they are many, each keeps fewer entries, so that no table has over ``CELLS`` cells (down to one entry
+each, at about 4,400 languages; beyond, tables grow with the square of the languages).
 Everything else covers all documents: every whole text is scored, in one map without a shuffle. Runs of more than
 ``LONGEST`` letters, as in scripts without spaces, are no entries of the word table; they are fitted and scored by the
 n-grams of the whole run.
@@ -31,8 +33,8 @@ from pyspark.sql import types as T
 
 from quern.llm.common import arrow_map, limit_batches, worker_state
 
-#: Documents of a language to learn from; words kept in all; n-grams kept per length and language; languages at most.
-SAMPLE, ENTRIES, GRAMS, LANGUAGES = 3000, 100_000, 10_000, 200
+#: Documents of a language to learn from; words kept in all; n-grams kept per length and language; cells of a table (rows x languages).
+SAMPLE, ENTRIES, GRAMS, CELLS = 3000, 100_000, 10_000, 20_000_000
 ORDERS = (5, 4, 3, 2, 1)
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST, SPACE, CHUNK = 40, 60_000, 1 << 13
@@ -51,6 +53,11 @@ def grams_of(word: str, k: int, start: int = 0, stop: int | None = None):
     return (padded[i : i + k] for i in range(start, last if stop is None else min(stop, last)))
 
 
+def entries_of(langs: int) -> int:
+    """Words (and n-grams of a length) kept of each language: fewer, the more languages there are, but all languages stay."""
+    return max(1, min(ENTRIES // max(langs, 1), CELLS // max(langs * langs, 1)))
+
+
 def word_counts(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[tuple[str, str, int]], list[tuple[str, str, int]]]:
     """(languages, rows of language, word, count of the sample, the same of n-grams of words over ``LONGEST``); all bounded.
 
@@ -58,14 +65,12 @@ def word_counts(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[
     """
     limit_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not sizes:
+    counted = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    langs = sorted(r["lang"] for r in counted.select("lang").collect())
+    if not langs:
         return [], [], []
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text")
+    chosen = rows.join(F.broadcast(counted), "lang").where(draw < F.lit(float(sample)) / F.col("size")).select("lang", "text")
 
     def flushed(held: dict):
         flat = [(lang, k, w, n) for (lang, k), c in held.items() for w, n in c.items()]
@@ -94,18 +99,18 @@ def word_counts(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[
 
     counts = chosen.mapInArrow(count, "lang string, k int, word string, n long").groupBy("lang", "k", "word").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "word"))
-    most = max(1000, ENTRIES // len(sizes))
+    most = entries_of(len(langs))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("k") == 0, most).otherwise(min(GRAMS, most)))
     got = top.select("lang", "k", "word", "n").toArrow()
     flat = list(zip(*(got.column(c).to_pylist() for c in ("lang", "k", "word", "n")), strict=True))
-    return sorted(sizes), [(lang, w, n) for lang, k, w, n in flat if k == 0], [(lang, w, n) for lang, k, w, n in flat if k]
+    return langs, [(lang, w, n) for lang, k, w, n in flat if k == 0], [(lang, w, n) for lang, k, w, n in flat if k]
 
 
 class Model:
     """Log frequencies of words and n-grams per language."""
 
     def __init__(self, langs: list[str], counts: list[tuple[str, str, int]], runs: list[tuple[str, str, int]] = (), grams: int = GRAMS):
-        self.langs = langs
+        self.langs, grams = langs, min(grams, entries_of(len(langs)))
         at = {x: i for i, x in enumerate(langs)}
         self.words, self.word_table = self.table(((at[lang], w, n) for lang, w, n in counts))
         parts = {k: Counter() for k in ORDERS}
@@ -148,7 +153,8 @@ class Scorer(dict):
     def __init__(self, model: Model):
         super().__init__(model.words)
         self.model, self.known = model, len(model.words)
-        self.table = np.zeros((self.known + 1 + SPACE, max(len(model.langs), 1)), np.float32)
+        space = max(2 * CHUNK, min(SPACE, CELLS // max(len(model.langs), 1)))
+        self.table = np.zeros((self.known + 1 + space, max(len(model.langs), 1)), np.float32)
         if self.known:
             self.table[: self.known] = model.word_table
         self.next = self.known + 1

@@ -1,5 +1,8 @@
+import random
+import re
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quern.llm import langid as L
@@ -45,3 +48,43 @@ def test_long_runs_are_fitted_and_scored_whole(spark):
     assert got[500] == "fr" and got[501] == "en" and all(got[i] == lang for i, _, lang in rows[:80])
     scorer = L.Scorer(model)
     assert scorer.predict("xy" * 100_000 + "def" * 100_000)[0] == "fr" and not set(scorer) - set(model.words)
+
+
+def test_more_than_two_hundred_languages_are_all_kept(spark, monkeypatch):
+    rng = random.Random(1)
+    own = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(4)] for k in range(300)}
+    rows = [(i, " ".join(rng.choices(own[lang], k=12)), lang) for i, lang in enumerate(list(own) * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df)
+    assert model.langs == sorted(own)
+    got = L.identify(df, model).collect()
+    assert sum(r.lang_pred == rows[r.doc_id][2] for r in got) > 0.99 * len(got)
+    monkeypatch.setattr(L, "CELLS", 300 * 300 * 2)  # two entries a language
+    small = L.fit(df)
+    assert small.langs == sorted(own) and len(small.words) <= 600 and len({r.lang_pred for r in L.identify(df, small).collect()}) > 250
+
+
+def plain_scores(model, text):
+    """Brute force: word log frequencies by the model's tables, n-grams from the longest known down, summed word by word."""
+    total = np.zeros(len(model.langs))
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        if w in model.words:
+            total += model.word_table[model.words[w]]
+            continue
+        for k in (5, 4, 3, 2, 1):
+            padded = w if k == 1 else f"^{w}$"
+            index, table = model.grams[k]
+            known = {g for g in (padded[i : i + k] for i in range(len(padded) - k + 1)) if g in index}
+            if known:
+                total += np.mean([table[index[g]] for g in known], axis=0)
+                break
+    return total
+
+
+def test_scores_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = L.fit(docs.where("doc_id % 3 = 0"))
+    for r in L.identify(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        want = plain_scores(model, r.text)
+        p = np.exp(want - want.max())
+        assert r.lang_pred == model.langs[int(np.argmax(want))] and abs(r.score - (p / p.sum()).max()) < 1e-3
