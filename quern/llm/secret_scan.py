@@ -12,7 +12,7 @@ The spans of the literals that reach ``LEAST`` are added as kind ``lexed``; base
 
 Spans are in code points, end exclusive, ordered by start, then kind. Defined results: null and empty texts have no
 spans; repeated rows and null ids are scanned row by row; an empty table gives an empty result. The scan is map-only and
-no literal, value or number of parts is cut; its work per text is linear, so hot sources and long texts need no dealing. ``scan`` reads only the key and the text;
+no name, literal, value or number of parts is cut; its work per text is linear, so hot sources and long texts need no dealing. ``scan`` reads only the key and the text;
 ``redact`` keeps all columns.
 """
 
@@ -44,9 +44,10 @@ LEAST, SHORTEST = 1.0, 6
 #: Values up to this length are kept as text; longer ones by their counts and ends, which give the same score.
 PLAIN = 4000
 
+#: A bare name starts at its run's first character that may start one (or at an ``@``), so a run is read once, however long.
 PAIR = re.compile(
-    r"""(?:(?P<q>["'`])(?P<quoted>[^"'`\n]{1,80})(?P=q)[ \t]*\]?|(?P<ident>[A-Za-z_$@][\w$.\-]{0,80}))[ \t]*"""
-    r"""(?::[ \t]*[A-Za-z_][\w.\[\]|]{0,40}[ \t]*=(?![=~>])|:=|=>|=(?![=~>])|:(?![:/=]))[ \t]*""",
+    r"""(?:(?P<q>["'`])(?P<quoted>[^"'`\n]++)(?P=q)[ \t]*+(?:\][ \t]*+)?|(?:(?<![\w$.\-])[\d.\-]*+|(?=@))(?P<ident>[A-Za-z_$@][\w$.\-]*+)[ \t]*+)"""
+    r"""(?::[ \t]*+[A-Za-z_][\w.\[\]|]*+[ \t]*+=(?![=~>])|:=|=>|=(?![=~>])|:(?![:/=]))[ \t]*+""",
     re.A,
 )
 QUOTED = re.compile(r"""[rRbBuUfF]{0,2}(?:(?P<t>\"{3}|'{3})(?P<long>.*?)(?P=t)|"(?P<d>(?:\\.|[^"\\\n]++)*+)"|'(?P<s>(?:\\.|[^'\\\n]++)*+)'|`(?P<b>[^`\n]*+)`)""", re.S)
@@ -148,7 +149,19 @@ class Runs:
         return Value(end - at, +self.counts[0], text[at : at + 32], text[end - 4 : end], None)
 
 
-def expression(text: str, at: int, constants: dict, runs: Runs) -> tuple[Value, list, bool, str | None]:
+class Constants(dict):
+    """name -> (value, spans, all quoted), and the lengths of the names."""
+
+    def __init__(self):
+        super().__init__()
+        self.lengths: set[int] = set()
+
+    def __setitem__(self, name: str, held: tuple) -> None:
+        super().__setitem__(name, held)
+        self.lengths.add(len(name))
+
+
+def expression(text: str, at: int, constants: Constants, runs: Runs) -> tuple[Value, list, bool, str | None]:
     """(value, literal spans, all quoted, the single name it is) of the expression at ``at``.
 
     Spans are a list of (start, end) and of such lists, which constants share.
@@ -162,9 +175,9 @@ def expression(text: str, at: int, constants: dict, runs: Runs) -> tuple[Value,
             end = m.end()
         elif (stop := runs.end_of(at)) > at:
             end = stop if first else PART.match(text, at, stop).end()
-            # Names of constants have at most 81 characters.
-            word = text[at:end] if end - at <= 81 else None
-            name = HEAD.match(text, at, min(end, at + 82))[0]
+            # A run ends in one place, so at most one piece of each length that a constant's name has is taken from it.
+            word = text[at:end] if end - at in constants.lengths else None
+            name = HEAD.match(text, at, end)[0]
             if word in constants or name in constants:
                 known = word if word in constants else name
                 v, s, q = constants[known]
@@ -191,7 +204,7 @@ def expression(text: str, at: int, constants: dict, runs: Runs) -> tuple[Value,
 
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of literals whose values reach sensitive names with a score of ``LEAST`` or more."""
-    constants: dict[str, tuple] = {}
+    constants = Constants()
     found: set[tuple[int, int]] = set()
     runs, marked = Runs(text), {}
 

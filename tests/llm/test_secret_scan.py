@@ -1,5 +1,8 @@
 import hashlib
 import re
+import time
+
+import pytest
 
 from quern.llm import secret_scan as S
 
@@ -91,3 +94,31 @@ def test_work_on_long_texts_is_linear():
     assert len(lexed(f"private_key = '{key}'\n" + f"private_key = private_key + '{key}'\n" * 5_000)) == 5_001
     assert lexed("private_key = '" + "\\a" * 100_000) == [] and lexed("a='" * 50_000) == []
     assert time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("n", [60, 90, 100, 10_000, 300_000])
+def test_names_of_any_length(n):
+    secret = "q7Zk29vXw1LmTr84bN"
+    for name in ("passphrase_" + "a" * n, "a" * n + "_passphrase", "x." * n + "passphrase"):
+        for text in (f'{name} = "{secret}"', f'{{"{name}": "{secret}"}}', f'{name}: str = "{secret}"', f'{name} := "{secret}"', f'k = "{secret}"\n{name} = k'):
+            at = text.index(secret)
+            assert ("lexed", at, at + len(secret)) in S.find_spans(text), (n, text[:30])
+    long = "n" * n  # a constant with a long name reaches a sensitive one
+    text = f'{long} = "{secret}"\npassphrase = {long}'
+    assert ("lexed", text.index(secret), text.index(secret) + len(secret)) in S.find_spans(text)
+    assert S.find_spans("token_kind " + '"' + "z" * n + '"' + " " * n + "secret" + " " * n + "\t" * n) == []
+
+
+def test_names_start_where_they_did():
+    secret = "q7Zk29vXw1LmTr84bN"
+    for before in ("-", ".", "9", "12.-", "@", "x@", "(", "é"):
+        text = f'{before}passphrase = "{secret}"'
+        at = text.index(secret)
+        assert ("lexed", at, at + len(secret)) in S.find_spans(text), before
+
+
+def test_long_runs_take_linear_time():
+    began = time.perf_counter()
+    for text in ("secret_" * 150_000, "a=" * 300_000 + "secret", "x: " + "y" * 1_000_000 + " secret", '"' * 500_000 + "secret=", "secret " * 100_000 + ":", "@" * 500_000 + "secret:"):
+        S.find_spans(text)
+    assert time.perf_counter() - began < 40
