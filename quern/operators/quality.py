@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern import schemas as S
+from quern.functions import text as X
 from quern.operators.filters import quality_evidence
+from quern.operators.graph import components
 from quern.operators.normalize import active
 
 
@@ -179,6 +181,58 @@ def lesson_quality(lessons: DataFrame, nodes: DataFrame, edges: DataFrame, evide
     )
 
 
+def lesson_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A1: lesson, components: of the graphs of all lessons at once, by one run over (lesson, node) keys.
+
+    Lone nodes count one each; edges to nodes that the lesson lacks count nothing; ids are trimmed, empty ones left out. The
+    rounds work on edges of all lessons together, so many small graphs need as many rounds as the largest of them, and a
+    lesson of any size is spread over tasks.
+    """
+    key = lambda c: F.concat_ws("\u0001", F.col("lesson").cast("string"), F.trim(c))
+    ids = nodes.where(F.trim("id") != "").select("lesson", key("id").alias("id")).distinct()
+    at = lambda c: ids.select(F.col("id").alias(c))
+    inside = edges.select(key("from_id").alias("from_id"), key("to_id").alias("to_id")).join(at("from_id"), "from_id", "left_semi").join(at("to_id"), "to_id", "left_semi")
+    met = ids.join(components(inside), "id", "left")
+    return met.groupBy("lesson").agg(F.countDistinct(F.coalesce("component", "id")).alias("components"))
+
+
+def pending_image(modality: str | Column = "modality", properties: str | Column = "properties") -> Column:
+    """A1: an image whose review is pending, or open with an uncertain relevance."""
+    said = lambda f: F.trim(F.coalesce(F.get_json_object(X.col(properties), f"$.image_relevance.{f}"), F.lit("")))
+    return (F.lower(F.trim(F.coalesce(X.col(modality), F.lit("")))) == "image") & ((said("review_status") == "pending") | ((said("review_status") == "") & (said("relevance") == "uncertain")))
+
+
+def lesson_dashboard(lessons: DataFrame, nodes: DataFrame, edges: DataFrame, evidence: DataFrame, canonical_evidence: DataFrame, merge_reviews: DataFrame) -> DataFrame:
+    """A1 in full: ``lesson_quality`` with components, fallbacks to recorded counts, and what waits for a review.
+
+    lessons: lesson, book_id, batch_anchor, status, recorded_nodes, recorded_edges, recorded_evidence, review_required,
+    review_node_ids. evidence as in ``lesson_quality`` with modality; canonical_evidence: source_id, anchor_ref, modality,
+    properties; merge_reviews: lesson, raw_node_id. Images under review are counted on the canonical evidence of merged
+    lessons and of those that have any, else on the staged evidence. Every table is aggregated once and joined.
+    """
+    live = active(nodes)
+    base = lesson_quality(lessons.select("lesson", "status", "recorded_nodes"), nodes, edges, evidence)
+    staged = evidence.groupBy("lesson").agg(F.count("*").alias("n_staged"), F.count_if(pending_image()).alias("staged_images"))
+    canonical = canonical_evidence.groupBy(F.col("source_id").alias("book_id"), F.col("anchor_ref").alias("batch_anchor")).agg(F.count("*").alias("n_canonical"), F.count_if(pending_image()).alias("canonical_images"))
+    merged = merge_reviews.groupBy("lesson").agg(F.countDistinct("raw_node_id").alias("merge_review_count"))
+    listed = lessons.where("review_required").select("lesson", F.explode(F.array_distinct(F.filter(F.transform("review_node_ids", lambda x: F.trim(x)), lambda x: x != ""))).alias("raw_node_id"))
+    own = listed.groupBy("lesson").agg(F.count("*").alias("listed"))
+    both = listed.unionByName(merge_reviews.select("lesson", "raw_node_id")).groupBy("lesson").agg(F.countDistinct("raw_node_id").alias("reviewed"))
+    out = base.join(lessons.drop("status", "recorded_nodes", "review_node_ids"), "lesson").join(lesson_components(live, active(edges)), "lesson", "left").join(canonical, ["book_id", "batch_anchor"], "left")
+    for df in (staged, merged, own, both):
+        out = out.join(df, "lesson", "left")
+    out = out.na.fill(0, ["components", "n_canonical", "canonical_images", "n_staged", "staged_images", "merge_review_count", "listed", "reviewed", "recorded_edges", "recorded_evidence"])
+    required = F.coalesce("review_required", F.lit(False))
+    images = F.when(F.col("status").isin("merged", "qa_passed") | (F.col("n_canonical") > 0), F.col("canonical_images")).otherwise(F.col("staged_images"))
+    out = out.withColumn("image_review_count", images).withColumn("quality_review_count", F.when(required, F.greatest(F.lit(1), "listed")).otherwise(0))
+    alone = F.when(required & (F.col("listed") == 0), 1).otherwise(0) + F.when((F.col("status") == "blocked") & ~required, 1).otherwise(0)
+    return out.select(
+        "lesson", "status", "node_count", F.when(F.col("relation_count") > 0, F.col("relation_count")).otherwise(F.col("recorded_edges")).alias("relation_count"),
+        F.when(F.col("n_staged") > 0, F.col("evidence_count")).otherwise(F.col("recorded_evidence")).alias("evidence_count"), "coverage", "isolated_count", "isolated_ratio",
+        F.col("components").alias("disconnected_components"), "image_review_count", "merge_review_count", "quality_review_count", (F.col("image_review_count") + F.col("reviewed") + alone).alias("manual_pending_items"),
+    )
+
+
 def dataset_quality(lessons: DataFrame) -> DataFrame:
     """A2: totals over lessons: one row."""
     return lessons.agg(

@@ -143,6 +143,43 @@ def a1(spark, d):
     return q.select("lesson", "status", "node_count", "relation_count", "evidence_count", F.round("coverage", 6).alias("coverage"), "isolated_count", F.round("isolated_ratio", 6).alias("isolated_ratio"))
 
 
+_DASHBOARD = f"""WITH RECURSIVE {_LESSON}, l AS (SELECT DISTINCT lesson, 'b' || lesson % 3 AS book_id, CASE lesson % 4 WHEN 0 THEN 'staged' WHEN 1 THEN 'blocked' ELSE 'merged' END AS status, lesson % 5 = 0 AS required FROM ln
+  UNION ALL SELECT DISTINCT lesson + 1000000, 'none', 'staged', false FROM ln),
+q AS (SELECT conv_id AS lesson, turn, 'ev:' || conv_id || ':' || turn AS id, turn % 6 <> 0 AS ok, turn IN (0, 4) AS pending FROM conversations WHERE turn % 2 = 0),
+ins AS (SELECT lesson, from_id AS a, to_id AS b FROM le WHERE to_id IN (SELECT id FROM ln)), sym AS (SELECT * FROM ins UNION SELECT lesson, b, a FROM ins),
+reach(lesson, id, r) AS (SELECT lesson, id, id FROM ln UNION SELECT x.lesson, x.id, s.b FROM reach x JOIN sym s ON s.lesson = x.lesson AND s.a = x.r),
+comp AS (SELECT lesson, count(DISTINCT root) AS n FROM (SELECT lesson, id, min(r) AS root FROM reach GROUP BY ALL) GROUP BY 1),
+merges AS (SELECT conv_id AS lesson, conv_id || ':' || turn AS id FROM conversations WHERE turn % 4 = 1 AND conv_id % 2 = 0),
+listed AS (SELECT lesson, lesson || ':1' AS id FROM l WHERE required AND lesson % 10 <> 0 UNION ALL SELECT lesson, 'x' FROM l WHERE required AND lesson % 10 <> 0),
+canon AS (SELECT conv_id AS lesson, turn FROM conversations WHERE conv_id % 6 = 0 AND turn IN (1, 3)),
+t AS (SELECT *, (SELECT count(*) FROM ln WHERE ln.lesson = l.lesson) AS nodes, (SELECT count(*) FROM le WHERE le.lesson = l.lesson) AS edges, (SELECT count(*) FROM q WHERE q.lesson = l.lesson) AS staged, (SELECT count(*) FROM q WHERE q.lesson = l.lesson AND ok) AS good,
+  (SELECT count(*) FROM q WHERE q.lesson = l.lesson AND pending) AS images, (SELECT count(*) FROM canon c WHERE c.lesson = l.lesson) AS canonical, (SELECT count(*) FROM canon c WHERE c.lesson = l.lesson AND turn = 1) AS canonical_images,
+  (SELECT count(DISTINCT id) FROM merges m WHERE m.lesson = l.lesson) AS merge_review_count, (SELECT count(*) FROM listed m WHERE m.lesson = l.lesson) AS n_listed,
+  (SELECT count(DISTINCT id) FROM (SELECT * FROM merges UNION ALL SELECT * FROM listed) m WHERE m.lesson = l.lesson) AS reviewed, coalesce((SELECT n FROM comp WHERE comp.lesson = l.lesson), 0) AS components FROM l),
+u AS (SELECT *, CASE WHEN status IN ('merged', 'qa_passed') OR canonical > 0 THEN canonical_images ELSE images END AS image_review_count FROM t)
+SELECT lesson, status, CASE WHEN nodes > 0 THEN nodes ELSE 7 END AS node_count, CASE WHEN edges > 0 THEN edges ELSE 8 END AS relation_count, CASE WHEN staged > 0 THEN good ELSE 9 END AS evidence_count, components AS disconnected_components, image_review_count, merge_review_count,
+CASE WHEN required THEN greatest(1, n_listed) ELSE 0 END AS quality_review_count, image_review_count + reviewed + (required AND n_listed = 0)::INT + (status = 'blocked' AND NOT required)::INT AS manual_pending_items FROM u"""
+
+
+@register("a1_lesson_dashboard", _DASHBOARD)
+def a1_dashboard(spark, d):
+    v = Views(spark, d)
+    n, e, ev = _lessons(v)
+    c = v.table("conversations")
+    said = "case turn when 0 then '{\"synthetic\":true,\"image_relevance\":{\"relevance\":\"uncertain\"}}' when 4 then '{\"image_relevance\":{\"review_status\":\" pending\"}}' when 6 then '{\"synthetic\":true}' else '{}' end AS properties"
+    ev = c.where("turn % 2 = 0").selectExpr("conv_id AS lesson", "concat('ev:', conv_id, ':', turn) AS id", "if(turn in (0, 4), ' Image', 'text') AS modality", said)
+    cols = ["concat('a', lesson) AS batch_anchor", "7 AS recorded_nodes", "8 AS recorded_edges", "9 AS recorded_evidence"]
+    ids = n.select("lesson").distinct()
+    lessons = ids.selectExpr(
+        "lesson", "concat('b', lesson % 3) AS book_id", "case lesson % 4 when 0 then 'staged' when 1 then 'blocked' else 'merged' end AS status", "lesson % 5 = 0 AS review_required",
+        "if(lesson % 10 = 0, array(' '), array(' x ', concat(lesson, ':1'), 'x')) AS review_node_ids", *cols,
+    )
+    lessons = lessons.unionByName(ids.selectExpr("lesson + 1000000 AS lesson", "'none' AS book_id", "'staged' AS status", "false AS review_required", "array('unused') AS review_node_ids", *cols))
+    canonical = c.where("conv_id % 6 = 0 AND turn IN (1, 3)").selectExpr("concat('b', conv_id % 3) AS source_id", "concat('a', conv_id) AS anchor_ref", "'image' AS modality", "if(turn = 1, '{\"image_relevance\":{\"review_status\":\"pending\"}}', '{}') AS properties")
+    merges = c.where("turn % 4 = 1 AND conv_id % 2 = 0").selectExpr("conv_id AS lesson", "concat(conv_id, ':', turn) AS raw_node_id")
+    return Q.lesson_dashboard(lessons, n, e, ev, canonical, merges).drop("coverage", "isolated_count", "isolated_ratio")
+
+
 @register("a2_dataset_quality", f"{_QUALITY} SELECT count(*) AS lesson_count, sum(node_count)::BIGINT AS node_count, sum(relation_count)::BIGINT AS relation_count, sum(evidence_count)::BIGINT AS evidence_count, round(sum(covered) / sum(node_count + relation_count), 6) AS coverage, sum(isolated_count)::BIGINT AS isolated_count, count(*) FILTER (status = 'blocked') AS blocked FROM t")
 def a2(spark, d):
     return Q.dataset_quality(_quality(Views(spark, d))).withColumn("coverage", F.round("coverage", 6))
