@@ -18,10 +18,11 @@ def active(df: DataFrame) -> DataFrame:
 def edge_duplicates(edges: DataFrame) -> DataFrame:
     """Active edges by (from, to, type), the earliest kept; returns the rows to deprecate with the id that stays.
 
-    The kept row is an aggregate joined back, so a pair that a third of all edges share is no hot window.
+    The kept row is an aggregate joined back, so a pair that a third of all edges share is no hot window; only groups with
+    repeats are joined, usually a small side.
     """
     e = active(edges).withColumn("key", F.struct("created_at", "id"))
-    kept = e.groupBy("from_id", "to_id", "type").agg(F.min("key").alias("kept"))
+    kept = e.groupBy("from_id", "to_id", "type").agg(F.min("key").alias("kept"), F.count("*").alias("n")).where("n > 1")
     j = e.join(kept, ["from_id", "to_id", "type"])
     return j.where(F.col("id") != F.col("kept.id")).select("id", F.col("kept.id").alias("kept_id"))
 
@@ -36,7 +37,7 @@ def undirected_edge_duplicates(edges: DataFrame) -> DataFrame:
     b = F.when(un, F.greatest("from_id", "to_id")).otherwise(F.col("to_id"))
     keys = ["type", "directionality", "a", "b"]
     e = edges.where("status <> 'deprecated'").select("type", "directionality", a.alias("a"), b.alias("b"), F.struct("created_at", "id").alias("key"))
-    j = e.join(e.groupBy(*keys).agg(F.min("key").alias("kept")), keys)
+    j = e.join(e.groupBy(*keys).agg(F.min("key").alias("kept"), F.count("*").alias("n")).where("n > 1"), keys)
     return j.where(F.col("key.id") != F.col("kept.id")).select("key.id", F.col("kept.id").alias("kept_id"))
 
 

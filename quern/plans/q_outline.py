@@ -199,7 +199,7 @@ _NORM = "regexp_replace({}, '[\\s\\p{{P}}\\p{{S}}]+', '', 'g')"
 
 
 @register("d28_evidence_match", f"""WITH b AS (SELECT conv_id AS book_id, turn AS page_index, conv_id || ':' || turn AS block_id, lower({_NORM.format('text')}) AS c, 'P/' || turn || '.PNG' AS img FROM conversations),
-e AS (SELECT conv_id AS book_id, 'e' || turn AS id, CASE WHEN turn % 3 = 0 THEN lower({_NORM.format('substr(text, 1, 200)')}) ELSE 'zzzzzzqq' END AS q, CASE WHEN turn % 5 = 4 THEN turn || '.png' ELSE '' END AS asset, turn % 2 + 1 AS page_start FROM conversations),
+e AS (SELECT conv_id AS book_id, 'e' || turn AS id, CASE turn % 3 WHEN 0 THEN lower({_NORM.format('text')}) WHEN 1 THEN 'more' || lower({_NORM.format('text')}) ELSE lower({_NORM.format('reverse(text)')}) END AS q, CASE WHEN turn % 5 = 4 THEN turn || '.png' ELSE '' END AS asset, turn % 2 + 1 AS page_start FROM conversations),
 s AS (SELECT e.book_id, id, page_index, block_id, CASE WHEN asset <> '' AND asset = lower(split_part(img, '/', 2)) THEN 1.0 WHEN length(q) >= 6 AND length(c) >= 4 AND (contains(c, q) OR contains(q, c)) THEN least(0.99, least(length(q), length(c)) / greatest(length(q), length(c)) + 0.5)
   WHEN length(q) >= 12 AND length(c) >= 4 AND contains(c, substr(q, 1, 64)) THEN 0.72 WHEN page_start - 1 = page_index THEN 0.35 ELSE 0 END::DOUBLE AS s FROM e JOIN b USING (book_id)),
 m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY book_id, id ORDER BY s DESC, page_index, block_id) = 1)
@@ -207,7 +207,7 @@ SELECT book_id, id, round(s, 2) AS confidence, CASE WHEN s = 1 THEN 'asset' WHEN
 def d28(spark, d):
     c = Views(spark, d).table("conversations")
     b = c.selectExpr("conv_id AS book_id", "turn AS page_index", "concat(conv_id, ':', turn) AS block_id", "text", "concat('P/', turn, '.PNG') AS image_path")
-    e = c.selectExpr("conv_id AS book_id", "concat('e', turn) AS id", "if(turn % 3 = 0, substring(text, 1, 200), 'zzzzzzqq') AS excerpt", "if(turn % 5 = 4, concat('x/', turn, '.png'), '') AS asset", "turn % 2 + 1 AS page_start")
+    e = c.selectExpr("conv_id AS book_id", "concat('e', turn) AS id", "case turn % 3 when 0 then text when 1 then concat('More ', text) else reverse(text) end AS excerpt", "if(turn % 5 = 4, concat('x/', turn, '.png'), '') AS asset", "turn % 2 + 1 AS page_start")
     return O.match_evidence(b, e)
 
 

@@ -166,12 +166,12 @@ def m21b(spark, d):
 
 
 @register("m21_staged_others", """SELECT 'profile' AS artefact, o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'primary' ELSE '' END AS detail, CASE WHEN o_orderkey % 5 = 0 THEN 'unknown domain' END AS error FROM orders
-UNION ALL SELECT 'evidence', doc_id::VARCHAR, CASE WHEN doc_id % 2 = 0 THEN 'text' ELSE 'image' END || ':b:' || md5(trim(text)), NULL FROM documents WHERE text NOT LIKE ' %'
+UNION ALL SELECT 'evidence', doc_id::VARCHAR, CASE WHEN doc_id % 2 = 0 THEN 'text' ELSE 'image' END || ':b:' || md5(trim(text)), NULL FROM documents
 UNION ALL SELECT 'mention', 'm' || doc_id, 'mentions:node:a1', NULL FROM labels GROUP BY doc_id UNION ALL SELECT 'card', 'part:' || p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'section:other:' || p_brand ELSE 's:essence:' || p_brand END, CASE WHEN p_partkey % 7 = 0 THEN 'missing id' END FROM part""")
 def m21c(spark, d):
     t = Views(spark, d).table
     p = t("orders").selectExpr("concat(o_orderkey, ' ') AS raw_profile_id", "'n' AS node_id", "if(o_orderkey % 5 = 0, 'none', 'physics') AS domain", "if(o_orderkey % 2 = 0, array('primary', 'odd', ' primary'), array()) AS school_stages")
-    e = t("documents").where("text NOT LIKE ' %'").selectExpr("cast(doc_id AS string) AS id", "text AS excerpt", "if(doc_id % 2 = 0, '', 'image') AS modality")
+    e = t("documents").selectExpr("cast(doc_id AS string) AS id", "text AS excerpt", "if(doc_id % 2 = 0, '', 'image') AS modality")
     m = t("labels").selectExpr("0 AS pos", "concat('m', doc_id) AS id").distinct()
     c = t("part").selectExpr("if(p_partkey % 7 = 0, ' ', 'c') AS id", "concat('part:', p_partkey) AS node_id", "array(named_struct('id', if(p_partkey % 2 = 0, '', 's'), 'title', '', 'section_type', if(p_partkey % 2 = 0, '', 'essence'), 'content', array(' ', concat(p_brand, ' ')), 'source_refs', array('a', 'a'))) AS sections")
     s = F.element_at("sections", 1)

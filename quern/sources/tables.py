@@ -147,7 +147,7 @@ def admin_page(df: DataFrame, search: str, sort: str, limit: int = 50, offset: i
     """Rows whose JSON holds the text (case-insensitive), by a known column; limit 1..200."""
     if sort not in df.columns:
         raise ValueError(f"unknown column {sort}")
-    rows = df.where(F.ilike(F.to_json(F.struct(*df.columns)), F.lit(f"%{search}%"))) if search else df
+    rows = df.where(F.contains(F.lower(F.to_json(F.struct(*df.columns))), F.lower(F.lit(search)))) if search else df
     return rows.orderBy(sort, *[c for c in df.columns if c != sort]).offset(max(0, offset)).limit(max(1, min(200, limit)))
 
 
@@ -166,8 +166,13 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def update_rows(df: DataFrame, keys: dict, patch: dict, editable: Sequence[str]) -> DataFrame:
-    """A copy of the table with typed changes to the row of a complete key; unknown or fixed columns are refused."""
+def update_rows(df: DataFrame, keys: dict, patch: dict, editable: Sequence[str], key_columns: Sequence[str] | None = None) -> DataFrame:
+    """A copy of the table with typed changes to the row of a key; unknown or fixed columns are refused.
+
+    ``key_columns``: the table's whole key; then ``keys`` must name each of them and nothing else.
+    """
+    if key_columns is not None and set(keys) != set(key_columns):
+        raise ValueError(f"not the whole key {list(key_columns)}: {list(keys)}")
     if bad := [c for c in patch if c not in editable or c in keys]:
         raise ValueError(f"not editable: {bad}")
     hit = F.lit(True)
