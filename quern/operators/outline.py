@@ -299,14 +299,22 @@ def toc_entries(toc: DataFrame) -> DataFrame:
     return e.select("book_id", "line", "kind", F.coalesce(own, "theme").alias("order_path"), title.alias("title"), "page")
 
 
-def range_ends(items: DataFrame, start: str = "page", level: str = "level") -> DataFrame:
-    """end = the start of the next entry of the same or a higher level, less one, at least the start; null if none follows.
+def next_start(items: DataFrame, level: str, start: str, order: str) -> Column:
+    """The start of the next row of a book (in ``order``) with the same or a smaller level; null if none follows.
 
-    Candidates per level come from one window each; entries have at most six levels.
+    The rows run backwards, so the frame of each expression grows from its begin and is never computed anew; one expression
+    for each level that occurs.
     """
-    w = Window.partitionBy("book_id").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    nxt = [F.when(F.col(level) == k, F.first(F.when(F.col(level) <= k, F.col(start)), ignorenulls=True).over(w)) for k in range(1, 7)]
-    return items.withColumn("end", F.greatest(F.col(start), F.coalesce(*nxt) - 1)).withColumn("end", F.when(F.coalesce(*nxt).isNotNull(), F.col("end")))
+    deepest = items.agg(F.max(level)).first()[0]
+    w = Window.partitionBy("book_id").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    levels = range((deepest if deepest is not None else 0) + 1)
+    return F.coalesce(*[F.when(F.col(level) == k, F.last(F.when(F.col(level) <= k, F.col(start)), ignorenulls=True).over(w)) for k in levels])
+
+
+def range_ends(items: DataFrame, start: str = "page", level: str = "level") -> DataFrame:
+    """end = the start of the next entry of the same or a higher level, less one, at least the start; null if none follows."""
+    nxt = next_start(items, level, start, "line")
+    return items.withColumn("end", F.when(nxt.isNotNull(), F.greatest(F.col(start), nxt - 1)))
 
 
 # --- heading trees and alignment (D13-D21) -------------------------------------------------------------------------
@@ -512,12 +520,9 @@ def parent_starts(items: DataFrame) -> DataFrame:
 def hierarchical_ends(items: DataFrame, last: DataFrame) -> DataFrame:
     """end = start of the next item in order that is no descendant, less one; else the book's last line (book_id, last).
 
-    Items in depth-first order: the next non-descendant is the next one of the same or a smaller depth. One window over a
-    book, with one expression for each depth that occurs.
+    Items in depth-first order: the next non-descendant is the next one of the same or a smaller depth.
     """
-    deepest = items.agg(F.max("depth")).first()[0] or 0
-    w = Window.partitionBy("book_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.coalesce(*[F.when(F.col("depth") == k, F.first(F.when((F.col("depth") <= k) & F.col("md_start").isNotNull(), F.col("md_start")), ignorenulls=True).over(w)) for k in range(deepest + 1)])
+    nxt = next_start(items, "depth", "md_start", "pos")
     j = items.withColumn("nxt", nxt).join(last, "book_id", "left")
     return j.withColumn("md_end", F.greatest("md_start", F.coalesce(F.col("nxt") - 1, "last"))).drop("nxt", "last")
 

@@ -278,3 +278,16 @@ def test_kmeans_and_layout(spark):
     want = np.abs(x @ np.linalg.svd(x, full_matrices=False)[2][:2].T)
     for r in C.pca_layout(df).collect():
         assert np.allclose(np.abs([r.x, r.y]), want[int(r.id[1:])], atol=1e-6)
+
+
+def test_ends_of_any_level_and_of_long_books(spark):
+    """Levels over six end like others, and a book of 20,000 rows takes one pass (a frame that looks ahead would be quadratic)."""
+    rng = random.Random(4)
+    rows = [(k, i, rng.randrange(1, 10), rng.choice([None, i * 2, i * 2]), 7) for k in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "book_id int, line int, level int, page int, next int")
+    got = {(r.book_id, r.line): r.end for r in O.range_ends(df).collect()}
+    for k, i, level, page, _ in rows:
+        after = next((p for b, j, x, p, _ in rows if b == k and j > i and x <= level and p is not None), None)
+        assert got[k, i] == (None if after is None else after - 1 if page is None else max(page, after - 1))
+    long = spark.range(20_000).selectExpr("1 AS book_id", "id AS line", "cast(id % 9 + 1 AS int) AS level", "id AS page")
+    assert O.range_ends(long).agg({"end": "sum"}).first()[0] > 0
