@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions.variants import add_classification
 from quern.operators import resolve as M
 from quern.plans.catalog import register
 from quern.sources.views import Views, ctes
@@ -214,6 +215,18 @@ def m24(spark, d):
     return M.strict_bundle(e, n, a).select(F.col("from_id").alias("a"), (F.col("to_id") - 10000000).alias("b"), "type", "anchor")
 
 
+_LABEL = "CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_type END"
+
+
+@register("m12_classifications", f"""WITH s AS (SELECT p_partkey, {_LABEL} AS label, CASE WHEN p_partkey % 3 <> 0 THEN lower(p_type) END AS code FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '{{"classifications":{{"raw_subkinds":["' || label || '"],"subkinds":["a","b"' || coalesce(',"' || code || '"', '') || '],"x":1}},"y":[2,null]}}'
+  ELSE '{{"classifications":{{"raw_subkinds":["' || label || '"]' || coalesce(',"subkinds":["' || code || '"]', '') || '}}}}' END AS properties FROM s""")
+def m12(spark, d):
+    held = "CASE p_partkey % 4 WHEN 0 THEN '{\"y\":[2,null],\"classifications\":{\"subkinds\":[\"a\",\" b \",\"a\"],\"x\":1}}' WHEN 1 THEN 'bad' WHEN 2 THEN '{}' END AS held"
+    p = Views(spark, d).table("part").selectExpr("p_partkey", held, f"{_LABEL} AS label")
+    return p.select("p_partkey", add_classification("held", "label").alias("properties"))
+
+
 @register("m25_artifacts", f"""{ctes('nodes', 'mentions', 'evidence', 'cards')}, e AS (SELECT target_id AS n, count(*) AS k FROM mentions JOIN evidence ev ON ev.id = mentions.source_refs[1] GROUP BY 1)
 SELECT id, coalesce(k, 0) AS n_evidence, id IN (SELECT node_id FROM cards) AS has_card FROM nodes LEFT JOIN e ON n = id""")
 def m25(spark, d):
