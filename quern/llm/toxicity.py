@@ -26,16 +26,15 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections import Counter
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_map, limit_batches, merge_splits, release_state, scratch, worker_state
-from quern.llm.vocab import Generations
+from quern.llm.common import arrow_map, limit_batches, release_state, scratch, worker_state
 
 POSITIVES, UNLABELLED, FEATURES, MEMBERS = 10_000, 40_000, 20_000, 4
 ORDERS, LIFT, Z = (3, 4, 5, 6), 2.0, 5.0
@@ -103,43 +102,46 @@ def choose_features(sample: DataFrame, positives: int, unlabelled: int, most: in
 
     def run(batches):
         release_state()
-        held = (Counter(), Counter())
+        held: dict[str, list[int]] = {}
 
         def flushed():
-            counts = (Counter(), Counter())
-            for words, c in zip(held, counts, strict=True):
-                for w, n in words.items():
-                    for f in features_of(w):
-                        c[f] += n
-                words.clear()
-            keys = list(counts[0].keys() | counts[1].keys())
+            keys, values = list(held), list(held.values())
             for i in range(0, len(keys), 50_000):
-                part = keys[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[k] for k in part], pa.int64()) for c in counts)], ["feature", "u", "p"])
+                u, p = zip(*values[i : i + 50_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000], pa.string()), pa.array(u, pa.int64()), pa.array(p, pa.int64())], ["feature", "u", "p"])
+            held.clear()
 
         for b in batches:
-            for positive, words in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held[positive].update(words.as_py())
-                if sum(map(len, held)) * 10 > ENTRIES:
+            for word, u, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for f in features_of(word):
+                    if (c := held.get(f)) is None:
+                        held[f] = [u, p]
+                    else:
+                        c[0] += u
+                        c[1] += p
+                if len(held) > ENTRIES:
                     yield from flushed()
         yield from flushed()
 
-    counts = merge_splits(sample.select("positive", "words")).mapInArrow(run, "feature string, u long, p long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    words = sample.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(~F.col("positive")).alias("u"), F.count_if("positive").alias("p"))
+    counts = words.mapInArrow(run, "feature string, u long, p long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     ratio = F.expr(f"((p + 0.5) / {positives + 1}) / ((u + 0.5) / {unlabelled + 1})")
     z = F.log(ratio) / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("u") + 0.5))
     return [r[0] for r in counts.where((ratio >= LIFT) & (z >= Z)).orderBy(z.desc(), "feature").limit(most).select("feature").collect()]
 
 
 class Finder:
-    """Words to the numbers of the kept features, through a bounded cache."""
+    """Words to the numbers of the kept features, by one automaton over all of them; no feature crosses words, as none holds ``><``."""
 
     def __init__(self, features: list[str], weights: np.ndarray | None = None):
-        self.index = {f: i for i, f in enumerate(features)}
-        self.cache = Generations(lambda w: tuple(self.index[f] for f in features_of(w) if f in self.index))
-        self.weights = weights
+        self.weights, self.automaton = weights, ahocorasick.Automaton() if features else None
+        for i, f in enumerate(features):
+            self.automaton.add_word(f, i)
+        if features:
+            self.automaton.make_automaton()
 
     def find(self, words) -> list[int]:
-        return sorted(set().union(*filter(None, map(self.cache.__getitem__, words))))
+        return sorted({i for _, i in self.automaton.iter("".join(words))}) if self.automaton else []
 
     def score(self, text: str | None) -> float:
         if self.weights is None:
