@@ -65,10 +65,11 @@ def word_counts(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[
     """
     limit_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable())
-    counted = rows.groupBy("lang").agg(F.count("*").alias("size"))
-    langs = sorted(r["lang"] for r in counted.select("lang").collect())
+    sizes = {r["lang"]: r["size"] for r in rows.groupBy("lang").agg(F.count("*").alias("size")).collect()}
+    langs = sorted(sizes)
     if not langs:
         return [], [], []
+    counted = docs.sparkSession.createDataFrame([*sizes.items()], "lang string, size long")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.join(F.broadcast(counted), "lang").where(draw < F.lit(float(sample)) / F.col("size")).select("lang", "text")
 
