@@ -5,8 +5,9 @@ A text's set: A-Z lower-cased, words are runs of bytes other than ASCII white sp
 their similarity is at least ``NUM / DEN``.
 
 First pass: the SimHash fingerprints of the same shingles are grouped and probed as in ``simhash``; the pairs found are
-verified with the whole sets. 64 bits cannot find every pair: at a similarity of 0.8 fingerprints differ by about ten bits,
-and no choice of partitions is selective at that distance. So a second pass joins what is left:
+verified with the whole sets, and their components are formed. 64 bits cannot find every pair: at a similarity of 0.8
+fingerprints differ by about ten bits, and no choice of partitions is selective at that distance. So a second pass joins what
+the first one left, and passes over every pair inside one of its components:
 
 All shingles have one order: by their count in a bounded sample of texts, then by hash. Sets of n with similarity t
 or more share one of their first n - ceil(t n) + 1 shingles, whatever the order is, so only those are joined: the sample
@@ -172,10 +173,16 @@ def links(docs: DataFrame, held: DataFrame, k: int = K, num: int = NUM, den: int
     firsts = scratch(held.groupBy("fp").agg(F.min("doc_id").alias("first")), "near")
     sets = scratch(held.select("fp", "sim", "n", "bits", "prefix").dropDuplicates(["fp"]), "near")
     drop_scratch(held)
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        return verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, sets, firsts, k, num, den, text)
+
+    by_sim = similar(sim_pairs(sets))
+    joined = scratch(components(by_sim).withColumnRenamed("node", "fp"), "near")
     posts = sets.select("fp", "n", F.posexplode("prefix").alias("pos", "h"))
     centre = F.min(F.col("fp").bitwiseXOR(F.col("h"))).bitwiseXOR(F.col("h")).alias("centre")
     shared = posts.groupBy("h").agg(F.count("*").alias("c"), centre).where("c > 1")
-    shared = scratch(shared, "near")
+    shared = scratch(shared.join(joined.toDF("centre", "centre_root"), "centre", "left"), "near")
     rows = scratch(posts.join(shared, "h"), "near")
     drop_scratch(shared)
     alike = f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}"
@@ -183,19 +190,20 @@ def links(docs: DataFrame, held: DataFrame, k: int = K, num: int = NUM, den: int
 
     def pairs(of: DataFrame, also: str) -> DataFrame:
         left, right = (of.select("h", *[F.col(c).alias(f"{c}_{s}") for c in of.columns if c != "h"]) for s in "ab")
-        return left.join(right, "h").where(f"fp_a < fp_b and {alike} and {rest} and {also}").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
+        return left.join(right, "h").where(f"fp_a < fp_b and coalesce(root_a, fp_a) <> coalesce(root_b, fp_b) and {alike} and {rest} and {also}").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
 
-    cold = pairs(rows.where(f"c <= {hot}"), "true")
-    star = rows.where(f"c > {hot} and fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b"))
-    found = verified(cold.union(star).union(sim_pairs(sets)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, sets, firsts, k, num, den, text)
+    rooted = rows.join(joined, "fp", "left")  # a root is null for a set that SimHash links with none
+    cold = pairs(rooted.where(f"c <= {hot}"), "true")
+    star = rooted.where(f"c > {hot} and coalesce(root, fp) <> coalesce(centre_root, centre)").select(F.col("centre").alias("a"), F.col("fp").alias("b"))
+    found = by_sim.union(similar(cold.union(star)))
     crowd = scratch(rows.where(f"c > {hot}").join(components(found).withColumnRenamed("node", "fp"), "fp", "left").select("h", "fp", "n", "pos", F.coalesce("root", "fp").alias("root")), "near")
-    drop_scratch(rows)
+    drop_scratch(rows, joined)
     mixed = crowd.groupBy("h").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("h")
     open_crowd = scratch(crowd.join(mixed, "h", "left_semi"), "near")
     drop_scratch(crowd)
     if not open_crowd.isEmpty():
         short = open_crowd.join(sets.select("fp", F.expr(SHORT_BITS).alias("bits")), "fp")
-        found = found.union(verified(pairs(short, f"root_a <> root_b and {near_bits(num, den)}"), docs, sets, firsts, k, num, den, text))
+        found = found.union(similar(pairs(short, near_bits(num, den))))
     drop_scratch(open_crowd, sets, firsts)
     return found
 

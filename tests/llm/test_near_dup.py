@@ -79,3 +79,32 @@ def test_bitmaps_never_pass_over_a_similar_pair(spark):
     test = near_dup.near_bits(near_dup.NUM, near_dup.DEN)
     assert pairs.where(test).count() == short.where(test).count() == len(rows)
     assert short.selectExpr("max(greatest(size(bits_a), size(bits_b)))").first()[0] == 8
+
+
+def test_the_second_pass_joins_only_what_simhash_left(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(9000)}" for _ in range(1000)]
+    far = list(words)
+    for i in range(0, 1000, 100):
+        far[i] = "other"
+    texts = {0: words, 1: [*words, "end"], 2: [*words, "fin"], 3: far, 4: [*far, "end"], 5: [f"v{i}" for i in range(50)]}
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    key = {near_dup.set_key(near_dup.shingles(t.encode())): i for i, t in texts.items()}
+    bits = lambda a, b: bin(fingerprint(texts[a].encode(), 5) ^ fingerprint(texts[b].encode(), 5)).count("1")
+    near = {(a, b) for a in texts for b in texts if a < b and bits(a, b) <= 2}
+    assert near == {(0, 1), (0, 2), (1, 2), (3, 4)}
+    calls, real = [], near_dup.verified
+
+    def spied(pairs, *args):
+        calls.append({tuple(sorted((key[r.a], key[r.b]))) for r in pairs.collect()})
+        return real(pairs, *args)
+
+    monkeypatch.setattr(near_dup, "verified", spied)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for hot in (256, 1):
+        calls.clear()
+        got = {r.doc_id: r.component_id for r in near_dup.near_groups(docs, hot=hot).collect()}
+        assert got == brute_groups(texts) == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5}
+        assert calls[0] and calls[0] <= near
+        rest = set().union(*calls[1:])
+        assert rest and rest <= {(a, b) for a in (0, 1, 2) for b in (3, 4)}, hot
