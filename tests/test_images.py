@@ -5,6 +5,7 @@ import re
 from urllib.parse import unquote
 
 from quern.operators import images as I
+from quern.plans import load
 
 EVIDENCE = "book_id long, id string, path string, locator string, excerpt string, extra int"
 MD_IMAGE, TAG = re.compile(r"!\[([^\]]*)\]\(([^)\n]+)\)"), re.compile(r"""<img\b[^>]*\bsrc=["']([^"']+)["'][^>]*>""", re.I)
@@ -84,3 +85,37 @@ def test_equals_a_scan_of_all_lines(spark):
 def test_empty(spark):
     none = lambda s: spark.createDataFrame([], s)
     assert I.recover_images(none(EVIDENCE), none("book_id long, md string"), none("book_id long, path string")).collect() == []
+
+
+def test_first_lines_of_long_texts():
+    """The index of grams gives the first hit, as a search from the start does."""
+    rng = random.Random(3)
+    for _ in range(40):
+        text = ["".join(rng.choice("ab水\t") for _ in range(rng.randrange(30))) for _ in range(rng.randrange(1, 60))]
+        short, long = I.Lines(text), I.Lines(text, small=0)
+        for _ in range(60):
+            line = rng.choice(text)
+            i = rng.randrange(len(line) + 1)
+            needle = rng.choice([line, line[i:], line[i : i + 3], line[i : i + 12] + "b", "a\nb", "", "zz"])
+            want = next((n for n, x in enumerate(text, 1) if needle in x), None) if needle else None
+            assert short.first(needle) == long.first(needle) == want, (text, needle)
+    assert I.Lines([]).first("a") is None and I.Lines([], 0).first("a") is None and I.Lines([""], 0).first("a") is None
+    same = ["x" * 40] * 20_000 + ["y" + "x" * 39]
+    assert [I.Lines(same).first(n) for n in ("x" * 40, "yx", "x" * 41)] == [1, 20_001, None]
+
+
+def test_rows_of_no_book_and_rows_with_one_id(spark):
+    rows = [(None, "e0", "https://x/y.png", None, None, 1), (None, "e1", None, "line:1", "no book", 2), (1, "e2", None, "line:1", None, 3), (1, "e2", None, "line:2", None, 4), (1, "e3", "HTTP://x/z", None, None, 5)]
+    got = I.recover_images(spark.createDataFrame(rows, EVIDENCE), spark.createDataFrame([(1, "![](a.png)\ntext"), (2, None)], "book_id long, md string"), spark.createDataFrame([], "book_id long, path string"))
+    assert sorted((r.extra, r.source_line, r.image_path) for r in got.collect()) == [(1, None, "https://x/y.png"), (2, None, None), (3, 1, "a.png"), (4, 2, "a.png"), (5, None, "HTTP://x/z")]
+
+
+def test_evidence_is_dealt_once_and_no_grams_are(spark):
+    """One exchange a table, both by the book; lines are not multiplied by their grams."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = load().QUERIES["d38_recovered_images"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert plan.count("hashpartitioning(book_id#") == plan.count("hashpartitioning(") == 2
