@@ -50,25 +50,32 @@ def score_pairs(staged: DataFrame, canonical: DataFrame, pairs: DataFrame) -> Da
     return j.select("raw_id", "id", "lexical", "semantic", "embedding", match_score(F.col("lexical"), F.col("semantic"), F.col("embedding"), ok).alias("score"))
 
 
-#: Characters of a term gram, and vectors of a tile side.
-GRAM, TILE = 5, 4096
+#: Characters of a term gram, vectors of a tile side, and rows that a call of the fold's task gets on average.
+GRAM, TILE, GROUP = 5, 4096, 1000
 
 
-def near_terms(terms: DataFrame) -> DataFrame:
-    """Pairs (kind, a, b) of distinct long terms (kind, t) that can have a ratio of 0.98.
+def near_candidates(terms: DataFrame) -> DataFrame:
+    """Pairs (kind, a, b, d_a, d_b), with repeats, among which are all pairs of distinct long terms (kind, t) with a ratio of 0.98.
 
     A ratio of 0.98 leaves at most 2 % of both lengths unmatched, so at most d = 4n / 98 insertions and deletions separate a
     term of n characters from the other. They spoil at most ``GRAM`` * d of its distinct grams; the first ``GRAM`` * d + 1 of
-    both terms in one common order (here by hash) therefore share one. No pair is lost; terms under 25 characters must be equal.
+    both terms in one common order therefore share one. No pair is lost; terms under 25 characters must be equal. The order
+    begins with the grams of the fewest terms, so what many terms have in common brings no pairs. Grams are their hashes.
     """
     n = F.char_length("t")
     t = terms.select("kind", "t", (4 * n / 98).cast("int").alias("d")).where("d >= 1")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.substring("t", i, F.lit(GRAM))))
-    first = F.slice(F.array_sort(F.transform(grams, lambda g: F.struct(F.xxhash64(g), g))), F.lit(1), GRAM * F.col("d") + 1)
-    t = t.select("kind", "t", "d", F.explode(first).alias("g"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.xxhash64(F.substring("t", i, F.lit(GRAM)))))
+    t = t.select("kind", "t", "d", F.explode(grams).alias("g"))
+    t = t.join(t.groupBy("kind", "g").agg(F.count("*").alias("n")), ["kind", "g"]).groupBy("kind", "t", "d").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("g"))
+    t = t.select("kind", "t", "d", F.explode(F.slice("g", F.lit(1), GRAM * F.col("d") + 1)).alias("g")).where("g.n > 1").select("kind", "t", "d", "g.g")
     a, b = (t.select("kind", "g", F.col("t").alias(c), F.col("d").alias(f"d_{c}")) for c in "ab")
-    near = "a < b AND abs(char_length(a) - char_length(b)) <= least(d_a, d_b) AND levenshtein(a, b) <= least(d_a, d_b)"
-    return a.join(b, ["kind", "g"]).where(near).select("kind", "a", "b").distinct()
+    return a.join(b, ["kind", "g"]).where("a < b")
+
+
+def near_terms(terms: DataFrame) -> DataFrame:
+    """Pairs (kind, a, b) of distinct long terms (kind, t) that can have a ratio of 0.98."""
+    near = "abs(char_length(a) - char_length(b)) <= least(d_a, d_b) AND levenshtein(a, b) <= least(d_a, d_b)"
+    return near_candidates(terms).where(near).select("kind", "a", "b").distinct()
 
 
 def _tile_roots(sig: list, staged: np.ndarray, side: np.ndarray, terms: list, x: np.ndarray, threshold: float, block: int = 1024) -> dict[int, int]:
@@ -161,6 +168,58 @@ def _score(s: dict, c: dict, threshold: float, lexical: Callable = best_ratio) -
     return min(w, 1.0)
 
 
+class Bounds:
+    """Per row of a group: upper bounds of its scores with all rows, from cheap measures; exact scores are asked of few pairs.
+
+    The ratio of two terms of p and q characters is at most 1 - x / (p + q), where x sums the differences of their counts of
+    characters (in ``BINS`` classes). A term in another gives ``CONTAINMENT``, so no lexical bound is lower. Cosines by matrix
+    products get a margin; floors are the constants that scores take, so a bound that equals a floor is exact.
+    """
+
+    BINS, MARGIN = 64, 1e-9
+
+    def __init__(self, rows: list[dict], threshold: float):
+        self.threshold, n = threshold, len(rows)
+        terms = [(i, t) for i, r in enumerate(rows) for t in r["terms"] if t]
+        self.owner = np.array([i for i, _ in terms], int)
+        self.of = np.searchsorted(self.owner, np.arange(n + 1))
+        self.counts = np.zeros((len(terms), self.BINS), np.int32)
+        for j, (_, t) in enumerate(terms):
+            np.add.at(self.counts[j], np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % self.BINS, 1)
+        self.length = self.counts.sum(axis=1)
+        keys: dict[str, int] = {}
+        self.key = np.array([keys.setdefault(r["semantic_key"], len(keys)) if r["semantic_key"] else -1 - i for i, r in enumerate(rows)], int)
+        self.unit: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.dim = [0 if r["embedding"] is None or any(x is None or x != x or abs(x) == float("inf") for x in r["embedding"]) else len(r["embedding"]) for r in rows]
+        for d in set(self.dim) - {0}:
+            at = np.flatnonzero(np.array(self.dim) == d)
+            x = np.array([rows[i]["embedding"] for i in at], float)
+            size = np.sqrt((x * x).sum(axis=1))
+            self.unit[d] = at, x / np.where(size > 0, size, 1)[:, None]
+        # Embeddings that no product tells anything of may have any cosine.
+        self.odd = np.array([r["embedding"] is not None and len(r["embedding"]) > 0 and d == 0 for r, d in zip(rows, self.dim, strict=True)], bool)
+        self.n = n
+
+    def of_row(self, i: int) -> np.ndarray:
+        ratio = np.zeros(self.n)
+        for j in range(self.of[i], self.of[i + 1]):
+            apart = np.abs(self.counts - self.counts[j]).sum(axis=1)
+            np.maximum.at(ratio, self.owner, 1 - apart / (self.length + self.length[j]))
+        ratio += self.MARGIN
+        cosine = self.odd.astype(float)
+        if self.odd[i]:
+            cosine[:] = 1
+        elif d := self.dim[i]:
+            at, unit = self.unit[d]
+            cosine[at] = unit @ unit[np.searchsorted(at, i)] + self.MARGIN
+        same_key = self.key == self.key[i]
+        if self.key[i] < 0:
+            same_key[:] = False
+        w = S.LEXICAL_WEIGHT * np.maximum(np.minimum(ratio, 1), S.CONTAINMENT) + S.SEMANTIC_WEIGHT * same_key + S.EMBEDDING_WEIGHT * np.maximum(cosine, 0) + self.MARGIN
+        w = np.where((ratio >= 0.98) | same_key, np.maximum(w, S.EXACT_FLOOR), w)
+        return np.minimum(np.where(cosine >= self.threshold, np.maximum(w, S.EMBEDDING_FLOOR), w), 1.0)
+
+
 def fold(pdf: pd.DataFrame, match: float = S.MATCH_THRESHOLD, review: float = S.REVIEW_THRESHOLD, threshold: float = S.EMBEDDING_THRESHOLD) -> pd.DataFrame:
     """M8 on one group of distinct signatures: staged ones in order of their first rows; the first best candidate wins.
 
@@ -172,15 +231,22 @@ def fold(pdf: pd.DataFrame, match: float = S.MATCH_THRESHOLD, review: float = S.
     for r in rows:
         r["terms"] = tuple(r["terms"]) if r["terms"] is not None else ()
     lexical = lru_cache(1 << 18)(best_ratio)
+    bounds = Bounds(rows, threshold) if len(rows) > 1 else None
+    for i, r in enumerate(rows):
+        r["i"] = i
     held = sorted((r for r in rows if not r["staged"]), key=lambda r: r["row"])
+    place = [r["i"] for r in held]
     out, again = [], []
 
     def best_of(s: dict, start: int, best: float = 0.0) -> Iterator[tuple[float, dict]]:
-        for c in held[start:]:
-            score = _score(s, c, threshold, lexical)
-            if score > best:
+        if start == len(held):
+            return
+        bound = bounds.of_row(s["i"])[place[start:]]
+        # What stays below every threshold is no candidate; of the others only those that can be better are scored.
+        for k in np.flatnonzero((bound > best) & (bound >= min(match, review))).tolist():
+            if bound[k] > best and (score := _score(s, held[start + k], threshold, lexical)) > best:
                 best = score
-                yield best, c
+                yield best, held[start + k]
 
     for s in sorted((r for r in rows if r["staged"]), key=lambda r: (r["created_at"], r["row"])):
         best, c = max(best_of(s, 0), key=lambda x: x[0], default=(0.0, None))
@@ -192,6 +258,7 @@ def fold(pdf: pd.DataFrame, match: float = S.MATCH_THRESHOLD, review: float = S.
                 again.append((s, len(held), best))
             continue
         held.append({**s, "canonical_id": s["new_id"]})
+        place.append(s["i"])
         out.append((*at, True, s["new_id"], "review" if best >= review else "created", best if best >= review else 0.0))
         out.append((*at, False, s["new_id"], "matched", _score(s, s, threshold, lexical)))
     for s, start, best in again:
@@ -218,7 +285,10 @@ def resolve(staged: DataFrame, canonical: DataFrame) -> DataFrame:
     one = G.cut(one.select("sig", "staged", "at.created_at", "at.row", "n", "r.*"))
     comp = link_components(one.groupBy("sig").agg(F.max("staged").alias("staged"), *(F.first(k).alias(k) for k in ("kind", "terms", "semantic_key", "embedding"))))
     schema = "sig string, since_at string, since_row string, first boolean, canonical_id string, resolution string, score double"
-    told = one.drop("kind").join(comp, "sig").groupBy("component").applyInPandas(lambda pdf: fold(pdf.drop(columns="component")), schema)
+    # Most components are single rows: a task gets some hundred components at once, whole ones, and folds each by itself.
+    groups = -(-one.count() // GROUP) or 1
+    told = one.drop("kind").join(comp, "sig").groupBy(F.pmod(F.xxhash64("component"), F.lit(groups)).alias("group"))
+    told = told.applyInPandas(lambda pdf: pd.concat([fold(part.drop(columns="component")) for _, part in pdf.groupby("component")]), schema)
     told = told.groupBy("sig").agg(
         F.max(F.when(F.col("first"), F.struct("since_at", "since_row", "canonical_id", "resolution", "score"))).alias("head"),
         F.array_sort(F.collect_list(F.when(~F.col("first"), F.struct("since_at", "since_row", "canonical_id", "resolution", "score")))).alias("later"),

@@ -291,3 +291,34 @@ def test_ends_of_any_level_and_of_long_books(spark):
         assert got[k, i] == (None if after is None else after - 1 if page is None else max(page, after - 1))
     long = spark.range(20_000).selectExpr("1 AS book_id", "id AS line", "cast(id % 9 + 1 AS int) AS level", "id AS page")
     assert O.range_ends(long).agg({"end": "sum"}).first()[0] > 0
+
+
+def test_terms_that_share_much_make_few_candidates(spark):
+    """Terms with a long common start meet by what they do not share; pairs that are nearly equal are found all the same."""
+    rng = random.Random(5)
+    terms = ["abcdefgh" * 8 + "".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(1500)]
+    terms += [t[:70] + t[71:] for t in terms[:20]]
+    df = spark.createDataFrame([("k", t) for t in terms], "kind string, t string")
+    assert M.near_candidates(df).count() < 10 * len(terms)
+    assert {(r.a, r.b) for r in M.near_terms(df).collect()} == {tuple(sorted((t, t[:70] + t[71:]))) for t in terms[:20]}
+
+
+def test_fold_scores_few_pairs(monkeypatch):
+    """A component whose rows all reach each other: bounds leave few pairs to score, and the outcome is that of all pairs."""
+    rng = random.Random(6)
+    base = [rng.gauss(0, 1) for _ in range(8)]
+    rows = []
+    for i in range(150):
+        name = "abcdefgh" * 8 + "".join(rng.choice("0123456789abcdef") for _ in range(32)) if i % 10 else f"term {i % 7}"
+        e = [x + rng.gauss(0, 0.25) for x in base] if i % 9 else rng.choice([None, [], [0.0] * 8, [1.0, 2.0], [float("nan")] * 8])
+        rows.append({"sig": f"s{i:03}", "staged": i >= 20, "created_at": str(i % 5), "row": f"r{i:03}", "n": 1, "terms": [name] if i % 40 else [], "semantic_key": f"k{i % 4}" if i % 12 == 5 else "", "code": None, "embedding": e, "new_id": f"n{i}", "canonical_id": "" if i >= 20 else f"c{i}"})
+    calls = []
+    plain = M._score
+    monkeypatch.setattr(M, "_score", lambda s, c, *a: calls.append(1) or plain(s, c, *a))
+    got = M.fold(M.pd.DataFrame(rows))
+    few = len(calls)
+    monkeypatch.setattr(M.Bounds, "of_row", lambda self, i: M.np.ones(self.n))
+    calls.clear()
+    want = M.fold(M.pd.DataFrame(rows))
+    assert got.equals(want) and few < 8 * len(rows) < len(calls)
+    assert {"created", "matched"} <= set(got.resolution)
