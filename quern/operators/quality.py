@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +19,7 @@ from quern.functions import text as X
 from quern.operators.filters import quality_evidence
 from quern.operators.graph import components
 from quern.operators.normalize import active
+from quern.shared import scratch
 
 
 def _issue(df: DataFrame, category: str, key: str | Column, message: str | Column) -> DataFrame:
@@ -23,11 +31,21 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def reference_issues(df: DataFrame, category: str, key: str, evidence: DataFrame, refs: str = "source_refs") -> list[DataFrame]:
-    """Rows without references, with empty ones, and with unknown ones (one issue per reference)."""
+#: Unknown values up to which they are sent to all tasks.
+FEW = 100_000
+
+
+def unknown(values: DataFrame, known: DataFrame) -> DataFrame:
+    """The distinct values (one column) that are not known, as a written table: the rows that hold them need no dealing where they are few."""
+    gone = scratch(values.distinct().join(known, values.columns, "left_anti"), "unknown")
+    return F.broadcast(gone) if gone.count() <= FEW else gone
+
+
+def reference_issues(df: DataFrame, category: str, key: str, gone: DataFrame, refs: str = "source_refs") -> list[DataFrame]:
+    """Rows without references, with empty ones, and with unknown ones (one issue per reference). gone: the unknown references (ref)."""
     r = df.select(F.col(key).alias("k"), F.explode(refs).alias("ref"))
     blank = F.coalesce(F.trim("ref"), F.lit("")) == ""
-    gone = r.where(~blank).join(evidence.select(F.col("id").alias("ref")), "ref", "left_anti")
+    gone = r.where(~blank).join(gone, "ref")
     return [
         _issue(df.where(F.coalesce(F.size(refs), F.lit(0)) <= 0), category, key, "Missing evidence source references"),
         _issue(r.where(blank), category, "k", "Invalid empty evidence reference"), _issue(gone, category, "k", F.concat(F.lit("Missing evidence "), "ref")),
@@ -49,6 +67,11 @@ def strict_qa(nodes: DataFrame, edges: DataFrame, profiles: DataFrame, mentions:
     sec = cards.select("node_id", F.explode("sections").alias("s"))
     sec_name = F.coalesce(F.when(F.col("s.id") != "", F.col("s.id")), F.when(F.col("s.section_type") != "", F.col("s.section_type")), F.lit("section"))
     sec = sec.select(F.concat_ws(":", "node_id", sec_name).alias("k"), F.col("s.source_refs").alias("source_refs"))
+    refs = _union([df.select(F.explode("source_refs").alias("ref")) for df in (edges, profiles, mentions, cards, sec, bodies)]).where("ref IS NOT NULL")
+    gone = unknown(refs, evidence.select(F.col("id").alias("ref")))
+    ends = unknown(edges.select(F.col("from_id").alias("end")).union(edges.select("to_id")), nodes.select(F.col("id").alias("end")))
+    # A null end is no node either.
+    lost = lambda c: edges.join(ends, F.col(c).eqNullSafe(F.col("end")), "left_semi")
     parts = [
         _issue(nodes.where(bad("kind", S.NODE_KINDS)), "node", "id", F.concat(F.lit("Invalid kind: "), F.coalesce("kind", F.lit("")))),
         _issue(nodes.where(empty("name") | empty("definition")), "node", "id", "Missing name or definition"),
@@ -56,18 +79,17 @@ def strict_qa(nodes: DataFrame, edges: DataFrame, profiles: DataFrame, mentions:
         _issue(_missing(nodes, profiles, "node_id"), "domain_profile", "id", "Missing domain profile"),
         _issue(edges.where(bad("type", S.EDGE_TYPES)), "edge", "id", F.concat(F.lit("Invalid edge type: "), F.coalesce("type", F.lit("")))),
         _issue(edges.where(bad("directionality", ("directed", "undirected"))), "edge", "id", F.concat(F.lit("Invalid directionality: "), F.coalesce("directionality", F.lit("")))),
-        *reference_issues(edges, "edge", "id", evidence),
-        _issue(edges.join(nodes.select(F.col("id").alias("from_id")), "from_id", "left_anti"), "edge", "id", "Missing source node"),
-        _issue(edges.join(nodes.select(F.col("id").alias("to_id")), "to_id", "left_anti"), "edge", "id", "Missing target node"),
+        *reference_issues(edges, "edge", "id", gone),
+        _issue(lost("from_id"), "edge", "id", "Missing source node"), _issue(lost("to_id"), "edge", "id", "Missing target node"),
         _issue(profiles.where(bad("domain", S.DOMAINS)), "domain_profile", "id", F.concat(F.lit("Invalid domain: "), F.coalesce("domain", F.lit("")))),
         _issue(profiles.where(F.size(odd("school_stages", S.SCHOOL_STAGES)) > 0), "domain_profile", "id", F.concat(F.lit("Invalid school stages: "), shown(odd("school_stages", S.SCHOOL_STAGES)))),
         _issue(profiles.where(F.size(odd("curriculum_roles", S.CURRICULUM_ROLES)) > 0), "domain_profile", "id", F.concat(F.lit("Invalid curriculum roles: "), shown(odd("curriculum_roles", S.CURRICULUM_ROLES)))),
-        *reference_issues(profiles, "domain_profile", "id", evidence), *reference_issues(mentions, "mention", "id", evidence),
-        _issue(cards.where(empty("summary")), "node_card", "node_id", "Missing summary"), *reference_issues(cards, "node_card", "node_id", evidence),
+        *reference_issues(profiles, "domain_profile", "id", gone), *reference_issues(mentions, "mention", "id", gone),
+        _issue(cards.where(empty("summary")), "node_card", "node_id", "Missing summary"), *reference_issues(cards, "node_card", "node_id", gone),
         _issue(cards.where(F.size(missing) > 0), "node_card", "node_id", F.concat(F.lit("Missing required sections: "), shown(missing))),
-        *reference_issues(sec, "node_card_section", "k", evidence),
+        *reference_issues(sec, "node_card_section", "k", gone),
         _issue(bodies.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_anti"), "node_body", "node_id", "Missing node"),
-        _issue(bodies.where(empty("content")), "node_body", "node_id", "Missing body content"), *reference_issues(bodies, "node_body", "node_id", evidence),
+        _issue(bodies.where(empty("content")), "node_body", "node_id", "Missing body content"), *reference_issues(bodies, "node_body", "node_id", gone),
     ]
     for c, values, name in (("domains", S.DOMAINS, "domains"), ("learning_modes", S.LEARNING_MODES, "learning modes")):
         if c in nodes.columns:
@@ -78,6 +100,46 @@ def strict_qa(nodes: DataFrame, edges: DataFrame, profiles: DataFrame, mentions:
     return _union(parts)
 
 
+def ordered_digests(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Per group of ``keys`` (strings): n, its rows, and digest, the MD5 of its ``order`` columns (strings), joined without separators, rows in that order.
+
+    All rows are sorted in ranges, and each range packs its stretch of a group into few compressed pieces. MD5 goes from start to
+    end, so one task reads the pieces of a group in turn; it holds a batch of them and never the group. Nulls count as empty.
+    """
+    rows = rows.select(*keys, *order).orderBy(*keys, *order)
+    names = ", ".join(f"{k} string" for k in keys)
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        for b in batches:
+            text = pc.binary_join_element_wise(*[pc.fill_null(b.column(c), "").cast(pa.large_string()) for c in order], pa.scalar("", pa.large_string()))
+            group = list(zip(*[b.column(k).to_pylist() for k in keys], strict=True))
+            ends = [i for i in range(1, len(group)) if group[i] != group[i - 1]] + [len(group)]
+            at, body = 0, text.buffers()[2]
+            place = np.frombuffer(text.buffers()[1], np.int64)[text.offset :]
+            for end in ends if group else []:
+                piece = zlib.compress(memoryview(body)[place[at] : place[end]] if body else b"", 1)
+                yield pa.RecordBatch.from_pydict({**{k: pa.array([v], pa.string()) for k, v in zip(keys, group[at], strict=True)}, "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n": pa.array([end - at], pa.int64()), "body": pa.array([piece], pa.binary())})
+                at, seq = end, seq + 1
+
+    def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, n, md5 = None, 0, None
+        told = lambda: pa.RecordBatch.from_pydict({**{k: pa.array([v], pa.string()) for k, v in zip(keys, of, strict=True)}, "n": pa.array([n], pa.int64()), "digest": pa.array([md5.hexdigest()])})
+        for b in batches:
+            for i, group in enumerate(zip(*[b.column(k).to_pylist() for k in keys], strict=True)):
+                if group != of:
+                    if md5:
+                        yield told()
+                    of, n, md5 = group, 0, hashlib.md5()
+                n += b.column("n")[i].as_py()
+                md5.update(zlib.decompress(b.column("body")[i].as_buffer()))
+        if md5:
+            yield told()
+
+    pieces = rows.mapInArrow(pack, f"{names}, part int, seq int, n long, body binary")
+    return pieces.repartition(*keys).sortWithinPartitions(*keys, "part", "seq").mapInArrow(digest, f"{names}, n long, digest string")
+
+
 def scope_issues(issues: DataFrame, node_ids: DataFrame) -> DataFrame:
     """Q2: issues of a book's nodes (id, or the part before a colon-separated section)."""
     return issues.join(node_ids.select(F.col("id")), "id", "left_semi")

@@ -42,8 +42,7 @@ def _qa(v: Views):
 def q1(spark, d):
     i = _qa(Views(spark, d))
     i = i.withColumn("message", F.when(F.startswith("message", F.lit("Missing evidence doc")), F.concat(F.lit("Missing evidence: "), "message")).otherwise(F.col("message")))
-    digest = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "message"))), lambda x: F.concat(x["id"], x["message"])), ""))
-    return i.groupBy("category", F.split_part("message", F.lit(":"), F.lit(1)).alias("rule")).agg(F.count("*").alias("n"), digest.alias("digest"))
+    return Q.ordered_digests(i.withColumn("rule", F.split_part("message", F.lit(":"), F.lit(1))), ["category", "rule"], ["id", "message"])
 
 
 @register("q2_scoped_issues", f"""{_QA}, b AS (SELECT DISTINCT target_id AS id FROM mentions JOIN evidence e ON e.id = source_refs[1] WHERE e.source_id = 'src3') SELECT category, count(*) AS n FROM i WHERE id IN (SELECT id FROM b) GROUP BY 1""")
